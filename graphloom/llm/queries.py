@@ -6,22 +6,71 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .contamination import contamination
+from .exact_dedup import exact_duplicates
+from .mixing import mixed, words_taken
 from .near_dedup import near_duplicates
 from .session import table
+from .sharding import sharded
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: how many of its words the mix takes."""
+    return words_taken(mixed(table(spark, sf_dir, "documents")))
+
+
+def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its words inside benchmark windows, and a digest of the items."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits", "items")
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: of equal texts the largest doc_id stays."""
+    return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its slot and shard."""
+    return sharded(table(spark, sf_dir, "documents").select("doc_id"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its set's size, its group's least doc_id, and whether it is that document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix": op1_mix,
+    "op2_contamination": op2_contamination,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op8_sharding": op8_sharding,
     "op7_near_dedup": op7_near_dedup,
 }
 
+_LETTERED = r"regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".replace("{_AZ}", _AZ)
+
 SQL: dict[str, str] = {
+    "op2_contamination": rf"""
+WITH i AS MATERIALIZED (SELECT item_id, {_LETTERED} AS w FROM benchmark WHERE text IS NOT NULL),
+q AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k:k + 9], ' ') AS g
+  FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM i WHERE len(w) > 0)
+), d AS MATERIALIZED (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE {_LETTERED} END AS w FROM documents),
+p AS (
+  SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g
+  FROM (SELECT d.*, s.n, unnest(range(1, len(w) - s.n + 2)) AS k FROM d, (SELECT DISTINCT n FROM q) s WHERE len(w) >= s.n)
+), m AS MATERIALIZED (SELECT doc_id, k, p.n, item_id FROM p JOIN q USING (n, g)),
+h AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS spot FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op6_exact_dedup": f"""
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), {_AZ}) AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)""",
     "op7_near_dedup": rf"""
 WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents
