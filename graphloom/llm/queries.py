@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language, toxicity
 from .contamination import contamination
 from .exact_dedup import exact_duplicates
 from .mixing import mixed, words_taken
@@ -26,6 +28,27 @@ def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits", "items")
 
 
+def _remainder(parts: int) -> Column:
+    """What is held out of learning goes by a document's id alone."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its language, by a model that has seen none of the documents held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.learned(docs.where(_remainder(4) != 2))
+    found = language.identified(docs, model)
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its toxicity, by a model that has seen no label of the documents held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: of equal texts the largest doc_id stays."""
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
@@ -44,6 +67,8 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_contamination": op2_contamination,
+    "op3_language": op3_language,
+    "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_sharding": op8_sharding,
     "op7_near_dedup": op7_near_dedup,
