@@ -1,3 +1,79 @@
-STAGES = []
+"""A corpus in five steps: toxic documents go, near copies go, benchmark passages go, sources are mixed, rows are sharded.
+
+Each stage takes (spark, docs, sf_dir) and returns a table that the next one gets written and read again; all but the
+last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import toxicity
+from graphloom.llm.contamination import contamination
+from graphloom.llm.mixing import mixed
+from graphloom.llm.near_dedup import near_duplicates
+from graphloom.llm.session import table
+from graphloom.llm.sharding import sharded
+from graphloom.llm.tables import saved
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows whose doc_id, null included, is (left_semi) or isn't (left_anti) among the ids."""
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how).select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is under one half, by a model of the labels; every document is scored."""
+    labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    model = toxicity.learned(docs, labels)
+    rows = docs.select(*COLUMNS)
+    return rows.mapInArrow(toxicity.keeper(model), rows.schema)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the least id."""
+    return _among(docs, near_duplicates(docs, percent=80).where("not kept"), "left_anti")
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no ten consecutive words of a benchmark item, nor a shorter item as a whole."""
+    return _among(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, whole; rows that share a doc_id share what is taken of them."""
+    mix = mixed(docs, whole=True)
+    taken = mix.draws.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_copies"))
+    rows = mix.documents.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
+    times = taken.join(rows, taken["_id"].eqNullSafe(rows["_id"])).select(taken["_id"], F.ceil(F.col("_copies") / F.col("_rows")).cast("int").alias("_times"))
+    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
+
+
+def shard_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows with slot and shard."""
+    return sharded(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("mixing", mix_sources),
+    ("sharding", shard_rows),
+]
+
+#: SQL can express neither the learned stage nor the mix.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -15,8 +15,8 @@ A document's set holds its distinct 5-word shingles. Two documents are linked wh
    out pairs within the bucket's largest component. A block gives a spanning forest, not its pairs; the forests connect
    clusters, and inside a cluster the full sets of all pairs from different components are intersected, again in blocks.
 
-A pair at the threshold of 85 % meets in no band with a probability of 7e-9, and its sketches fail (an estimate under
-0.68, five standard deviations below) with one of 6e-7. Nothing else is left to chance, and nothing is capped.
+A pair at a threshold of 85 % meets in no band with a probability of 7e-9 (at 80 %, of 3e-6), and its sketches fail (an
+estimate 0.17 under the threshold, five standard deviations below) with one of 6e-7. Nothing else is left to chance, and nothing is capped.
 
 Defined results: a null or empty text, or one of separators only, has an empty set and is linked with nothing; a text
 of one to four words has one shingle; rows that share a doc_id are judged each by its own text, and equal ones agree; a
@@ -38,8 +38,8 @@ from . import tokens as K
 from .components import components
 from .tables import bare, saved
 
-#: Least estimated similarity at which a pair's full sets are compared.
-LIKELY = 0.68
+#: How far under the threshold an estimated similarity may lie if a pair's full sets are to be compared.
+MARGIN = 0.17
 #: Documents in a block where sketches, or full sets, of all pairs are compared.
 SKETCHES, SETS = 1024, 512
 
@@ -127,7 +127,7 @@ def _alike(percent: int):
             fits = columns[(part[columns] != part[i]) & _close(n[columns], n[i], percent)]
             if len(fits):
                 bits = np.bitwise_count(sketch[fits] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-                near = fits[S.estimated(bits) >= LIKELY]
+                near = fits[S.estimated(bits) >= percent / 100 - MARGIN]
                 edges += _forest(part, np.full(len(near), i), near)
         kept = _forest(part, *np.array(edges, np.int64).reshape(-1, 2).T)
         return pd.DataFrame({"a": part[[i for i, _ in kept]], "b": part[[j for _, j in kept]]}, dtype="int64")
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     # pairs with the least of the bucket
     slim = leaders.select("id", "n", "sketch")
     stars = buckets.where("id <> hub").select("id", "hub").distinct().join(slim, "id").join(slim.select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col("sketch").alias("other")), "hub")
-    stars = stars.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).mapInArrow(_likely, "id long, hub long")
+    stars = stars.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).mapInArrow(_likely(percent), "id long, hub long")
     shared = F.size(F.array_intersect("members", "theirs"))
     tied = stars.join(members, "id").join(members.select(F.col("id").alias("hub"), F.col("members").alias("theirs")), "hub").where(100 * shared >= percent * (F.size("members") + F.size("theirs") - shared)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     tied = saved(tied, "tied")
@@ -238,9 +238,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch", "other"))
-            keep = S.estimated(S.popcounts(a, b)) >= LIKELY
-            yield batch.select(["id", "hub"]).filter(pa.array(keep))
+def _likely(percent: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch", "other"))
+                keep = S.estimated(S.popcounts(a, b)) >= percent / 100 - MARGIN
+                yield batch.select(["id", "hub"]).filter(pa.array(keep))
+
+    return of

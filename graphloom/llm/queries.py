@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from . import language, personal, toxicity
 from .contamination import contamination
 from .exact_dedup import exact_duplicates
 from .mixing import mixed, words_taken
 from .near_dedup import near_duplicates
+from .packing import packs
 from .session import table
 from .sharding import sharded
+from .token_counts import summary, token_counts
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -49,6 +51,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its tokens, and those of each of its lines."""
+    return summary(token_counts(table(spark, sf_dir, "documents")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: of equal texts the largest doc_id stays."""
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
@@ -59,6 +66,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per packed row of ids: its segments, their documents, and a digest of its ids."""
+    return packs(table(spark, sf_dir, "documents")).drop("input_ids")
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: how many spans of each pattern, their digest, and all spans."""
+    return personal.digest(personal.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its set's size, its group's least doc_id, and whether it is that document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -69,9 +86,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_contamination": op2_contamination,
     "op3_language": op3_language,
     "op4_toxicity": op4_toxicity,
+    "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_packing": op9_packing,
     "op8_sharding": op8_sharding,
     "op7_near_dedup": op7_near_dedup,
+    "op10_personal_data": op10_personal_data,
 }
 
 _LETTERED = r"regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".replace("{_AZ}", _AZ)

@@ -163,3 +163,13 @@ def learned(docs: DataFrame, labels: DataFrame, documents: dict[int, int] = DOCU
 def scored(docs: DataFrame, model: Model, offence: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, sentences) for every row; sentences: the code points of those that score `offence` or more."""
     return bare(docs, doc_id=id_col, text=text_col).mapInArrow(_scorer(model, offence), _SCORED)
+
+
+def keeper(model: Model, below: float = 0.5, text_col: str = "text"):
+    """For mapInArrow: the rows whose text scores under `below`, with all their columns."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, t in K.chunks(batches, text_col):
+            yield batch.filter(pa.array(scores(model, t)[0] < below))
+
+    return of
