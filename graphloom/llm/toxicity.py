@@ -69,39 +69,54 @@ def bags(t: K.Texts) -> Bags:
     return Bags(features.astype(np.int64), np.cumsum(new) - 1, doc[at], start[at], np.append(end[at[1:] - 1], end[-1]))
 
 
+def _sliced(texts: list[str | None], slice_: int = 200) -> Iterator[tuple[int, Bags]]:
+    """The bags of some texts at a time, with the place of the first; slices without words are left out."""
+    for first in range(0, len(texts), slice_):
+        t = K.texts(pa.array(texts[first : first + slice_], pa.string()))
+        b = bags(t) if len(t.data) else None
+        if b is not None and len(b.doc):
+            yield first, b
+
+
 def trained(texts: list[str | None], labels: list[int]) -> Model:
     """Weights that maximise the likelihood of the labels under the noisy-or of sentence scores, with weight decay."""
     y = np.asarray(labels, float)
     weights = np.zeros(WEIGHTS, np.float32)
     if not len(y) or y.min() == y.max():
         return Model(weights, 0.0, float(y[0]) if len(y) else 0.0)
-    t = K.texts(pa.array(texts, pa.string()))
-    if not len(t.data):
-        return Model(weights, 0.0, 0.0)
-    b = bags(t)
-    if not len(b.doc):
-        return Model(weights, 0.0, 0.0)
-    word_doc, width = b.doc[b.sentence], len(b.features)
-    key = np.unique(np.concatenate([f * len(y) + word_doc for f in b.features]))
-    feature, doc = key // len(y), key % len(y)
-    seen = np.bincount(feature, weights=y[doc], minlength=WEIGHTS)
-    plain = np.bincount(feature, minlength=WEIGHTS) - seen
+    # a slice of the texts at a time: first which features are of use, then only their occurrences
+    seen, every = np.zeros(WEIGHTS), np.zeros(WEIGHTS)
+    for first, b in _sliced(texts):
+        doc, n = b.doc[b.sentence], len(texts) - first
+        key = np.unique(np.concatenate([f * n + doc for f in b.features]))
+        seen += np.bincount(key // n, weights=y[first + key % n], minlength=WEIGHTS)
+        every += np.bincount(key // n, minlength=WEIGHTS)
+    plain = every - seen
     useful = (seen >= min(SUPPORT, y.sum())) & (seen / y.sum() > 1.5 * plain / (len(y) - y.sum()))
     place = np.cumsum(useful) - 1
-    entry = b.features.ravel()
-    keep = useful[entry]
-    column, sentence = place[entry[keep]], np.tile(b.sentence, width)[keep]
+    columns, sentences, docs, before = [], [], [], 0
+    for first, b in _sliced(texts):
+        for feature in b.features:
+            keep = useful[feature]
+            columns.append(place[feature[keep]].astype(np.int32))
+            sentences.append((before + b.sentence[keep]).astype(np.int32))
+        docs.append(first + b.doc)
+        before += len(b.doc)
+    if not before:
+        return Model(weights, 0.0, 0.0)
+    column, sentence, doc = np.concatenate(columns), np.concatenate(sentences), np.concatenate(docs)
+    del columns, sentences, docs
     w, bias = np.zeros(max(int(useful.sum()), 1)), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     # documents without words, as those that are empty, say nothing
-    alive = np.bincount(b.doc, minlength=len(y)) > 0
+    alive = np.bincount(doc, minlength=len(y)) > 0
     # toxic documents are few: they weigh up to three times as much
     worth = np.where(y > 0, np.clip(np.sqrt((len(y) - y.sum()) / y.sum()), 1, 3), 1.0) * alive / len(y)
     for step in range(1, STEPS + 1):
-        z = np.clip(bias + np.bincount(sentence, weights=w[column], minlength=len(b.doc)), -30, 30)
-        total = np.maximum(np.bincount(b.doc, weights=np.log1p(np.exp(z)), minlength=len(y)), 1e-9)
+        z = np.clip(bias + np.bincount(sentence, weights=w[column], minlength=len(doc)), -30, 30)
+        total = np.maximum(np.bincount(doc, weights=np.log1p(np.exp(z)), minlength=len(y)), 1e-9)
         pull = np.where(y > 0, -1 / np.expm1(total), 1.0) * worth
-        by_sentence = pull[b.doc] / (1 + np.exp(-z))
+        by_sentence = pull[doc] / (1 + np.exp(-z))
         g = np.bincount(column, weights=by_sentence[sentence], minlength=len(w)) + DECAY * w
         gb = by_sentence.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
