@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import safe_id
+
 # The types, as written, of which endpoints are made.
 ENDPOINT_TYPES = ("cloudFunction", "http", "httpRequest")
-DEFAULT_TIMEOUT_MS = 30000
+DEFAULT_TIMEOUT_MS = 2000
 
 
 def success_code(method: Column, is_async: Column) -> Column:
@@ -18,16 +20,16 @@ def success_code(method: Column, is_async: Column) -> Column:
 
 def endpoints(nodes: DataFrame) -> DataFrame:
     """(graph_id, node_ord, id, route, method, has_body, success) of nodes (graph_id, node_ord, id, raw_type, route,
-    url, method, is_async): the types are compared as written, a blank route gives way to the url."""
+    url, method, is_async): the types are compared as written; a blank route gives way to the url, and that to the id. Only GET has no body."""
     method = F.lower(F.coalesce(F.nullif("method", F.lit("")), F.lit("post")))
     rows = nodes.where(F.col("raw_type").isin(*ENDPOINT_TYPES))
     return rows.select(
         "graph_id",
         "node_ord",
         "id",
-        F.coalesce(F.nullif("route", F.lit("")), F.nullif("url", F.lit("")), F.lit("/")).alias("route"),
+        F.coalesce(F.nullif("route", F.lit("")), F.nullif("url", F.lit("")), F.concat(F.lit("/"), safe_id(F.col("id")))).alias("route"),
         method.alias("method"),
-        method.isin("post", "put", "patch").alias("has_body"),
+        (method != "get").alias("has_body"),
         success_code(method, F.col("is_async")).alias("success"),
     )
 

@@ -136,7 +136,7 @@ left(lower(regexp_replace(regexp_replace(trim(' My Service/' || path), '[^a-zA-Z
 p AS (SELECT user_id, event_type, min(event_id) AS i, arg_min(a, event_id) AS a FROM e GROUP BY 1, 2)
 SELECT 0 AS graph_id, event_type AS dst, arg_max(a, i) FILTER (WHERE a <> 0) AS attempts FROM p GROUP BY 2""",
     "endpoint_table": f"""WITH {_PATHS}, n AS (SELECT *, ['http','cloudFunction','httpRequest','HTTP','service','rest'][page_id % 6 + 1] AS t, ['get','post','delete','post','put'][page_id % 5 + 1] AS m FROM pages_path)
-SELECT page_id % 20 AS graph_id, page_id AS node_ord, 'n' || page_id AS id, path AS route, m AS method, m IN ('post', 'put') AS has_body,
+SELECT page_id % 20 AS graph_id, page_id AS node_ord, 'n' || page_id AS id, path AS route, m AS method, m <> 'get' AS has_body,
 CASE m WHEN 'post' THEN CASE WHEN page_id % 3 = 0 THEN 202 ELSE 201 END WHEN 'delete' THEN 204 ELSE 200 END AS success FROM n WHERE t IN ('http', 'cloudFunction', 'httpRequest')""",
     "other_nodes": """SELECT * FROM (SELECT page_id % 20 AS graph_id, 'n' || page_id AS id, ['http','cloudFunction','httpRequest','HTTP','service','rest'][page_id % 6 + 1] AS raw_type FROM pages) WHERE NOT contains(lower(raw_type), 'http')""",
 }
