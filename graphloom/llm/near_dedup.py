@@ -25,10 +25,9 @@ null doc_id takes part in no link and keeps a null component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,12 +115,57 @@ def _forest(nodes: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return out
 
 
+def _by_group(rows: DataFrame, keys: tuple[str, ...], work: Callable[[pa.RecordBatch], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b) pairs that `work` finds in each group of rows; groups are dealt by their keys and come sorted, so that a
+    task walks through many small ones without a call for each."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        parts: list[pa.RecordBatch] = []
+        now: tuple[int, ...] | None = None
+
+        def closed() -> list[tuple[int, int]]:
+            return work(parts[0] if len(parts) == 1 else pa.concat_batches(parts)) if parts else []
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in keys], 1)
+            turns = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for first, last in zip(turns, turns[1:], strict=False):
+                if (this := tuple(key[first].tolist())) != now:
+                    found += closed()
+                    parts, now = [], this
+                parts.append(batch.slice(first, last - first))
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found = []
+        yield _pairs(found + closed())
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(of, "a long, b long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _sides(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's part, and the rows of the two sides; a block that meets itself is both."""
+    side = group.column("side").to_numpy()
+    return group.column("part").to_numpy(), np.flatnonzero(side == 0), np.flatnonzero(side == 1) if (side == 1).any() else np.arange(len(side))
+
+
+def _tied(part: np.ndarray, edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    kept = _forest(part, *np.array(edges, np.int64).reshape(-1, 2).T) if edges else []
+    return [(int(part[i]), int(part[j])) for i, j in kept]
+
+
 def _alike(percent: int):
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+    def of(group: pa.RecordBatch) -> list[tuple[int, int]]:
         """A spanning forest of the pairs of the two sides that sketches find likely."""
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1).view(np.uint64)
-        n, part, side = pdf["n"].to_numpy(), pdf["part"].to_numpy(), pdf["side"].to_numpy()
-        rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side >= (1 if (side == 1).any() else 0))
+        part, rows, columns = _sides(group)
+        n = group.column("n").to_numpy()
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
         edges: list[tuple[int, int]] = []
         for i in rows.tolist():
             fits = columns[(part[columns] != part[i]) & _close(n[columns], n[i], percent)]
@@ -129,41 +173,33 @@ def _alike(percent: int):
                 bits = np.bitwise_count(sketch[fits] ^ sketch[i]).sum(axis=1, dtype=np.int64)
                 near = fits[S.estimated(bits) >= percent / 100 - MARGIN]
                 edges += _forest(part, np.full(len(near), i), near)
-        kept = _forest(part, *np.array(edges, np.int64).reshape(-1, 2).T)
-        return pd.DataFrame({"a": part[[i for i, _ in kept]], "b": part[[j for _, j in kept]]}, dtype="int64")
+        return _tied(part, edges)
 
     return of
 
 
 def _confirmed(percent: int):
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+    def of(group: pa.RecordBatch) -> list[tuple[int, int]]:
         """A spanning forest of the pairs of the two sides whose full sets confirm a link."""
-        sets, part, side = [np.asarray(x, np.int64) for x in pdf["members"]], pdf["part"].to_numpy(), pdf["side"].to_numpy()
-        n = np.array([len(s) for s in sets])
-        rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side >= (1 if (side == 1).any() else 0))
-        flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), n)
+        part, rows, columns = _sides(group)
+        members = group.column("members")
+        flat, n = members.flatten().to_numpy(), members.value_lengths().to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(n)), n)
         order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        begins = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        run = np.diff(np.append(begins, len(flat)))
-        rank = np.repeat(np.arange(len(begins)), run)
-        inverse = np.empty(len(flat), np.int64)
-        inverse[order] = rank
-        ends = np.append(begins, len(flat))
-        ids, edges = np.split(inverse, np.cumsum(n)[:-1]), []
-        place = np.full(len(sets), -1)
-        place[columns] = np.arange(len(columns))
+        begins = np.flatnonzero(np.concatenate([[True], flat[order[1:]] != flat[order[:-1]]]))
+        # the rows that hold each shingle, one after another; ends[k] to ends[k + 1] are those of shingle k
+        holders, ends = owner[order], np.append(begins, len(flat))
+        shingle = np.empty(len(flat), np.int64)
+        shingle[order] = np.repeat(np.arange(len(begins)), np.diff(ends))
+        first, edges = np.cumsum(n) - n, []
         for i in rows.tolist():
-            mine = ids[i]
+            mine = shingle[first[i] : first[i] + n[i]]
             size = ends[mine + 1] - ends[mine]
             at = np.repeat(ends[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            shared = np.bincount(owner[at], minlength=len(sets))[columns]
-            ok = (part[columns] != part[i]) & (100 * shared >= percent * (n[columns] + n[i] - shared))
-            near = columns[ok]
+            shared = np.bincount(holders[at], minlength=len(n))[columns]
+            near = columns[(part[columns] != part[i]) & (100 * shared >= percent * (n[columns] + n[i] - shared))]
             edges += _forest(part, np.full(len(near), i), near)
-        kept = _forest(part, *np.array(edges, np.int64).reshape(-1, 2).T)
-        return pd.DataFrame({"a": part[[i for i, _ in kept]], "b": part[[j for _, j in kept]]}, dtype="int64")
+        return _tied(part, edges)
 
     return of
 
@@ -226,10 +262,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         return rows.join(first, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
 
     parted = saved(parts(buckets.select("key", "id")), "parted")
-    likely = _blocks(parted, "key", SKETCHES).join(slim, "id").groupBy("key", "x", "y").applyInPandas(_alike(percent), "a long, b long")
+    likely = _by_group(_blocks(parted, "key", SKETCHES).join(slim, "id"), ("key", "x", "y"), _alike(percent))
     clusters = saved(components(likely).select(F.col("id").alias("part"), F.col("component").alias("cluster")), "clusters")
     inside = saved(parts(leaders.select("id").distinct()).join(clusters, "part"), "inside")
-    links = _blocks(inside.select("cluster", "id", "part"), "cluster", SETS).join(members, "id").groupBy("cluster", "x", "y").applyInPandas(_confirmed(percent), "a long, b long")
+    links = _by_group(_blocks(inside.select("cluster", "id", "part"), "cluster", SETS).join(members, "id"), ("cluster", "x", "y"), _confirmed(percent))
     final = saved(components(tied.unionByName(saved(links, "links"))), "final")
 
     known = classes.join(final, "id", "left").select("print_a", "print_b", F.coalesce("component", "id").alias("component_id"))
