@@ -80,7 +80,7 @@ def exported(documents: DataFrame, target: str, port: object = 8080, skip_struct
     """Projects of (graph_id, raw) documents that have no structural error; without the structural pass, of those whose
     shape lets lint look into them."""
     check_target(target)
-    tables = graphs_of_json(documents)
+    tables = graphs_of_json(documents).saved()
     none = structural_findings(tables).limit(0)
     lint = none
     if skip_structural:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import variants as V
+from ..storage import saved
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,12 @@ class GraphTables:
         """The tables without the graphs of the given ids."""
         return GraphTables(*(t.join(graph_ids.select("graph_id").distinct(), "graph_id", "left_anti") for t in (self.graphs, self.nodes, self.edges)))
 
+    def saved(self) -> GraphTables:
+        """The tables written once, without the open objects that no rule reads: documents are parsed once, and what
+        follows plans from plain columns."""
+        slim = ([c for c, kind in t.dtypes if kind != "variant"] for t in (self.graphs, self.nodes, self.edges))
+        return GraphTables(*(saved(t.select(*columns), name) for t, columns, name in zip((self.graphs, self.nodes, self.edges), slim, ("graphs", "nodes", "edges"), strict=True)))
+
     def views(self) -> None:
         """Registers the three tables for spark.sql."""
         for name in ("graphs", "nodes", "edges"):

@@ -24,6 +24,7 @@ class Validation(NamedTuple):
 
 def validated(tables: GraphTables, skip_lint: bool = False, policy: results.Policy = results.Policy(), extra_rules: Iterable[Rule | Custom] = ()) -> Validation:
     """Lint looks only at graphs in which the structural rules find no error."""
+    tables = tables.saved()
     found = saved(structural_findings(tables), "structural")
     every = found
     if not skip_lint:
