@@ -20,7 +20,8 @@ def configured(spark: SparkSession) -> SparkSession:
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName("graphloom")
+    # recording where in Python each column was made takes longer than making it
+    builder = SparkSession.builder.appName("graphloom").config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

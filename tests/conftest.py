@@ -10,7 +10,7 @@ from graphloom.session import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    made = session("local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
+    made = session("local[4]", **{"spark.sql.shuffle.partitions": "2", "spark.sql.codegen.wholeStage": "false", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
     made.sparkContext.setLogLevel("ERROR")
     yield made
     made.stop()
