@@ -11,7 +11,7 @@ and so on through all terms. Windows that miss a term in a segment stop at once.
 together, in arrays.
 
 Test windows travel to the executors in tables of at most WINDOWS entries; more items are searched in parts, whose hits
-are united per document.
+are united per row, by a key that is written once before the first part.
 
 Defined results: null and empty texts have no words, and a row; items without words have no window, shorter items than
 a window are one; an item_id of null is left out of the listed items; rows that share a doc_id are judged each alone.
@@ -35,7 +35,7 @@ LENGTH = 10
 #: The most windows that are searched at once: 80 bytes each.
 WINDOWS = 500_000
 
-_SEGMENT = "doc_ids array<long>, n_words array<int>, terms array<long>, counts array<int>, gaps array<int>"
+_SEGMENT = "rows array<long>, doc_ids array<long>, n_words array<int>, terms array<long>, counts array<int>, gaps array<int>"
 
 
 class Windows(NamedTuple):
@@ -89,8 +89,8 @@ def _segments(vocabulary: np.ndarray, gap: int):
                     steps[first] = at[first]
                     terms, counts, gaps = vocabulary[term[first]].view(np.int64), np.diff(np.append(first, len(term))), steps
             yield pa.RecordBatch.from_arrays(
-                [_one(batch.column("doc_id").cast(pa.int64())), _one(pa.array(per_doc, pa.int32())), _one(pa.array(terms, pa.int64())), _one(pa.array(counts, pa.int32())), _one(pa.array(gaps, pa.int32()))],
-                names=["doc_ids", "n_words", "terms", "counts", "gaps"],
+                [_one(batch.column("row")), _one(batch.column("doc_id").cast(pa.int64())), _one(pa.array(per_doc, pa.int32())), _one(pa.array(terms, pa.int64())), _one(pa.array(counts, pa.int32())), _one(pa.array(gaps, pa.int32()))],
+                names=["rows", "doc_ids", "n_words", "terms", "counts", "gaps"],
             )
 
     return of
@@ -103,6 +103,7 @@ def _one(values: pa.Array) -> pa.Array:
 class Segment(NamedTuple):
     """Postings as one sorted array of term << 32 | position; the list of term t is keys[lists[t]:lists[t + 1]]."""
 
+    rows: pa.Array
     doc_ids: pa.Array
     n_words: np.ndarray
     base: np.ndarray
@@ -119,7 +120,7 @@ class Segment(NamedTuple):
 def _opened(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, gap: int) -> Iterator[Segment]:
     for batch in batches:
         for i in range(batch.num_rows):
-            doc_ids, n_words, terms, counts, gaps = (batch.column(c)[i].values for c in ("doc_ids", "n_words", "terms", "counts", "gaps"))
+            rows, doc_ids, n_words, terms, counts, gaps = (batch.column(c)[i].values for c in ("rows", "doc_ids", "n_words", "terms", "counts", "gaps"))
             n_words, terms, counts, gaps = n_words.to_numpy().astype(np.int64), terms.to_numpy().view(np.uint64), counts.to_numpy().astype(np.int64), gaps.to_numpy().astype(np.int64)
             base = np.cumsum(n_words) - n_words + (np.arange(len(n_words)) + 1) * gap
             at = np.cumsum(gaps)
@@ -130,7 +131,7 @@ def _opened(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, gap: int)
             keep, place, counts = np.repeat(ours, counts), place[ours], counts[ours]
             lists = np.zeros(len(vocabulary) + 1, np.int64)
             lists[place + 1] = counts
-            yield Segment(doc_ids, n_words, base, (np.repeat(place, counts) << 32) | at[keep], np.cumsum(lists))
+            yield Segment(rows, doc_ids, n_words, base, (np.repeat(place, counts) << 32) | at[keep], np.cumsum(lists))
 
 
 def _phrases(s: Segment, w: Windows, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,29 +202,35 @@ def _search(w: Windows, gap: int, frequency: np.ndarray, span: int | None):
                     items[d] += w.items[w.owner[k] : w.owner[k + 1]]
             ends = np.concatenate([[0], np.cumsum(hit_of)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [s.doc_ids, pa.array(s.n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(hits, pa.int64())), pa.array([sorted(set(x) - {"None"}) for x in items], pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "hits", "items"],
+                [s.rows, s.doc_ids, pa.array(s.n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(hits, pa.int64())), pa.array([sorted(set(x) - {"None"}) for x in items], pa.list_(pa.string()))],
+                names=["row", "doc_id", "n_words", "hits", "items"],
             )
 
     return of
 
 
-_MATCHES = "doc_id long, n_words long, hits array<long>, items array<string>"
+_MATCHES = "row long, doc_id long, n_words long, hits array<long>, items array<string>"
 
 
-def matches(docs: DataFrame, items: DataFrame, length: int = LENGTH, span: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, length: int = LENGTH, span: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(doc_id, n_words, hits, items) for every document: the places of words inside an occurrence, and the items.
 
     A window occurs where its words stand as a phrase or, with `span`, where some `span` words have all of them in any
-    order (proximity; the hits are then the words of that stretch).
+    order (proximity; the hits are then the words of that stretch). `row_col` names a unique, written key of the rows,
+    which comes back as `row`.
     """
     if span is not None and span < length:
         raise ValueError("span must be at least the window's length")
     gap = max(length, span or 0) + 1
-    source = bare(docs, doc_id=id_col, text=text_col)
     asked = bare(items, item_id=item_col, text=item_text_col).where("text is not null")
     total = asked.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     parts = 1 + total // (2 * WINDOWS)  # a window begins with a word and a separator
+    if row_col is not None:
+        source = bare(docs, row=row_col, doc_id=id_col, text=text_col)
+    else:
+        source = bare(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
+        source = source if parts == 1 else saved(source, "rows")
+    listed = ["row"] * (row_col is not None) + ["doc_id", "n_words", "hits", "items"]
     found = []
     for k in range(parts):
         rows = asked.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect()
@@ -233,13 +240,12 @@ def matches(docs: DataFrame, items: DataFrame, length: int = LENGTH, span: int |
         frequency = np.array([counted.get(t, 0) for t in w.vocabulary.view(np.int64).tolist()], np.int64)
         found.append(index.mapInArrow(_search(w, gap, frequency, span), _MATCHES))
     if parts == 1:
-        return found[0]
-    # each part lists the rows in the order of the same files, but not by one key: rows that share an id share a verdict
+        return found[0].select(listed)
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
-    joined = every.groupBy("doc_id", "n_words").agg((F.count("*") / parts).cast("int").alias("k"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return joined.withColumn("k", F.explode(F.array_repeat(F.lit(0), F.col("k")))).select("doc_id", "n_words", "hits", "items")
+    hits, items = (F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items"))
+    return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), hits, items).select(listed)
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,9 +259,11 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits, items) for every document."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits, items) for every document, after `row` where
+    `row_col` is given."""
     found = matches(docs, items, **options)
     return found.select(
+        *(c for c in ("row",) if c in found.columns),
         "doc_id",
         "n_words",
         F.size("hits").cast("long").alias("n_hit"),

@@ -164,6 +164,21 @@ def test_contamination(spark, docs, monkeypatch, limit):
     assert rows_of(got.drop("hits", "items")) == sorted(wanted, key=repr)
 
 
+@pytest.mark.parametrize("limit", [500_000, 20])
+def test_rows_with_one_id_and_length_are_judged_alone(spark, monkeypatch, limit):
+    monkeypatch.setattr(C, "WINDOWS", limit)
+    texts = ["x one two three y", "a b c d e", "x four five six y", None, "one two three four five"]
+    rows = [(i, t) for i in (None, 7) for t in texts]
+    items = [(1, "one two three"), (2, "four five six"), (3, "never said here"), (4, "nor this one either"), (5, "nor that other one")]
+    made = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = [(i, *brute_hits(t, items)) for i, t in rows]
+    assert rows_of(C.contamination(docs, made).drop("hits", "items")) == sorted(wanted, key=repr)
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    got = C.contamination(keyed, made, row_col="key").where("contaminated").select("row")
+    assert rows_of(got) == rows_of(keyed.where("text like '%one two three%' or text like '%four five six%'").select("key"))
+
+
 def test_contamination_of_nothing(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert C.contamination(empty, none).count() == 0
