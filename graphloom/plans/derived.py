@@ -80,12 +80,23 @@ def supply(spark: SparkSession, folder: str) -> GraphTables:
 
 def talks(spark: SparkSession, folder: str) -> GraphTables:
     """One graph for each conversation: a chain of its turns, every tenth bent back to its beginning."""
-    turns = read(spark, folder, "conversations").select(F.col("conv_id").alias("graph_id"), "turn", "role")
+    return _chains(read(spark, folder, "conversations").select(F.col("conv_id").alias("graph_id"), "turn", "role", (F.col("conv_id") % 10 == 0).alias("bent")))
+
+
+def named_talks(spark: SparkSession, folder: str) -> GraphTables:
+    """talks with conv_id as text, and '' where it is null: those turns are a conversation too. Rows of one turn, which
+    only a null conv_id should have, count once, with the greatest role."""
+    name = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
+    rows = read(spark, folder, "conversations").groupBy("conv_id", "turn").agg(F.max("role").alias("role"))
+    return _chains(rows.select(name.alias("graph_id"), "turn", "role", (F.col("conv_id") % 10 == 0).alias("bent")))
+
+
+def _chains(turns: DataFrame) -> GraphTables:
     id_ = lambda c: F.concat(F.lit("t"), c)
     nodes = turns.select("graph_id", F.col("turn").alias("node_ord"), id_(F.col("turn")).alias("id"), case(F.col("role"), "other", user="http", assistant="service", system="auth").alias("type"))
     later = turns.select("graph_id", (F.col("turn") - 1).alias("turn"))
     steps = turns.select("graph_id", "turn").join(later, ["graph_id", "turn"]).select("graph_id", F.col("turn").alias("edge_index"), id_(F.col("turn")).alias("src"), id_(F.col("turn") + 1).alias("dst"))
-    ends = turns.where("graph_id % 10 = 0").groupBy("graph_id").agg(F.min("turn").alias("a"), F.max("turn").alias("b"))
+    ends = turns.where("bent").groupBy("graph_id").agg(F.min("turn").alias("a"), F.max("turn").alias("b"))
     bent = ends.select("graph_id", F.col("b").alias("edge_index"), id_(F.col("b")).alias("src"), id_(F.col("a")).alias("dst"))
     return as_tables(as_nodes(nodes), as_edges(steps.unionByName(bent)))
 

@@ -52,6 +52,14 @@ def sync_chain_depth(spark: SparkSession, folder: str) -> DataFrame:
     return algorithms.sync_depths(facts.classified, facts.edge_facts).where("graph_id % 10 <> 0")
 
 
+def sync_chain_depth_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Depths of all conversations that have an entry, bent back or not, a null conv_id's included. SQL can't replay the
+    ordered visit of a cycle, so this has no SQL; `sync_chain_depth` is the part of it that SQL can check."""
+    facts = Facts(derived.named_talks(spark, folder))
+    found = algorithms.sync_depths(facts.classified, facts.edge_facts)
+    return found.select(F.when(F.col("graph_id") != "", F.col("graph_id")).cast("long").alias("graph_id"), "max_depth")
+
+
 def async_edges(spark: SparkSession, folder: str) -> DataFrame:
     edges = derived.channel_edges(spark, folder)
     return edges.select("event_id", edge_is_async(F.col("marked"), F.col("protocol"), F.col("kind")).alias("is_async"))
@@ -142,6 +150,7 @@ _QUERIES: dict[str, Query] = {
     "lint_no_healthcheck": lint_no_healthcheck,
     "health_url_flags": health_url_flags,
     "sync_chain_depth": sync_chain_depth,
+    "sync_chain_depth_all": sync_chain_depth_all,
     "async_edges": async_edges,
     "async_targets": async_targets,
     "dup_node_id": _structural("node", "IR-STRUCT-DUP_NODE_ID"),
