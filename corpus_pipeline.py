@@ -20,10 +20,9 @@ from graphloom.llm.tables import saved
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows whose doc_id, null included, is (left_semi) or isn't (left_anti) among the ids."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how).select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with `_row`, a key written once: stages decide on rows by it, as doc_ids may be null or repeated."""
+    return saved(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,23 +34,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id."""
-    return _among(docs, near_duplicates(docs, percent=80).where("not kept"), "left_anti")
+    """One document of each group of near copies, the one with the least id; null is the greatest."""
+    docs = _keyed(docs)
+    groups = near_duplicates(docs.select("_row", "text"), percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    least = groups.join(docs.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least"))
+    return docs.join(least.select("least._row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten consecutive words of a benchmark item, nor a shorter item as a whole."""
-    return _among(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"), "left_anti")
+    docs = _keyed(docs)
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), row_col="_row").where("contaminated")
+    return docs.join(found.select(F.col("row").alias("_row")), "_row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, whole; rows that share a doc_id share what is taken of them."""
-    mix = mixed(docs, whole=True)
-    taken = mix.draws.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_copies"))
-    rows = mix.documents.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
-    times = taken.join(rows, taken["_id"].eqNullSafe(rows["_id"])).select(taken["_id"], F.ceil(F.col("_copies") / F.col("_rows")).cast("int").alias("_times"))
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
+    """Each row as often as the mix takes it, whole."""
+    docs = _keyed(docs)
+    times = mixed(docs, whole=True, row_col="_row").draws.groupBy(F.col("row").alias("_row")).agg(F.count("*").cast("int").alias("_times"))
+    return docs.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 
 def shard_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,14 +79,15 @@ def _permuted(*columns: Column | str) -> Column:
     return F.xxhash64(*columns)
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, total: int | None = None, whole: bool = False, block_docs: int = 512, shard_blocks: int = 64, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, total: int | None = None, whole: bool = False, block_docs: int = 512, shard_blocks: int = 64, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> Mix:
     """The mix of all documents; see the module's text. Sources by code point, null last, weigh as `weights` repeats.
 
-    whole: take the document at a target's end whole if most of it is due, else not at all.
+    whole: take the document at a target's end whole if most of it is due, else not at all. row_col: a unique, written
+    key of the rows that becomes `row`.
     """
     spark = docs.sparkSession
-    sized = bare(docs, doc_id=id_col, source=source_col, text=text_col)
-    sized = sized.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    sized = bare(docs, doc_id=id_col, source=source_col, text=text_col, **({"row": row_col} if row_col else {}))
+    sized = sized.select(F.col("row") if row_col else F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     sized = saved(sized, "sized")
     stats = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
     if len(stats) > MOST_SOURCES:
