@@ -33,6 +33,13 @@ def _record(value: Any) -> dict[str, Any]:
     return value if isinstance(value, dict) else {}
 
 
+def step_kind(node: dict[str, Any]) -> str:
+    """What an inner node does: a transform node by its config's transform, others by their type."""
+    kind, config = str(node.get("type") or node.get("kind") or "step").lower(), node.get("config")
+    told = config.get("transform") if kind == "transform" and isinstance(config, dict) else None
+    return told if isinstance(told, str) and told else kind
+
+
 @dataclass
 class Endpoint:
     id: str

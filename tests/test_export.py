@@ -93,3 +93,10 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "found")).collect()
     assert [(r["graph_id"].rsplit("/", 1)[1], r["code"]) for r in got] == [("b.json", "IR-STRUCT-DUP_NODE_ID")]
+
+
+@pytest.mark.parametrize(("target", "file", "auth", "valid"), [("python", "app/main.py", "status_code=401", "status_code=422"), ("node", "app/index.js", "status(401)", "a body is needed")])
+def test_transform_nodes_inside_are_read(target, file, auth, valid):
+    inner = [{"type": "transform", "config": {"transform": t}} for t in ("authenticate", "validate")]
+    made = {m: project_files({"graph": {"nodes": [{"id": "a", "type": "http", "config": {"url": "/a", "method": m}, "innerNodes": inner}]}}, target)[file] for m in ("POST", "GET")}
+    assert auth in made["POST"] and valid in made["POST"] and auth in made["GET"] and valid not in made["GET"]
