@@ -13,18 +13,32 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; only where it is unset, as in tests, a temporary folder."""
+    """`spark.checkpoint.dir` of the session. Where it is unset, a temporary folder serves a session on this machine
+    alone, as in tests; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="graphloom-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return _own[0]
 
 
+def _place(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/graphloom/{spark.sparkContext.applicationId}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """The table written as Parquet and read again."""
-    path = f"{shared_folder(df.sparkSession)}/graphloom/{uuid.uuid4().hex}/{name}"
+    """The table written as Parquet and read again: later steps don't repeat the work, and a lost executor costs no more
+    than the tasks that it ran."""
+    path = f"{_place(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def released(spark: SparkSession) -> bool:
+    """Deletes what this application has saved; tables that read from it are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_place(spark))
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
