@@ -5,11 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_here = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,19 +30,44 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def _scratches() -> list[list[str]]:
+    """Paths that each open scratch of this thread deletes when it closes, the innermost last."""
+    if not hasattr(_here, "scratches"):
+        _here.scratches = []
+    return _here.scratches
+
+
 def _place(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/graphloom/{spark.sparkContext.applicationId}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The table written as Parquet and read again: later steps don't repeat the work, and a lost executor costs no more
-    than the tasks that it ran."""
+    than the tasks that it ran. keep: the table outlives the scratch in which it is written."""
     path = f"{_place(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if len(_scratches()) > keep:
+        _scratches()[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _deleted(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what is saved in it and not kept; what is kept belongs to the scratch around this one, if any.
+    All that is planned from such tables must be written before the end."""
+    _scratches().append([])
+    try:
+        yield
+    finally:
+        for path in _scratches().pop():
+            _deleted(spark, path.rsplit("/", 1)[0])
+
+
 def released(spark: SparkSession) -> bool:
-    """Deletes what this application has saved; tables that read from it are of no use afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_place(spark))
-    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    """Deletes all that this application has saved; tables that read from it are of no use afterwards."""
+    return _deleted(spark, _place(spark))
