@@ -45,30 +45,44 @@ class Model(NamedTuple):
     weights: np.ndarray
 
 
-def _slots(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and text of every n-gram that lies inside one text."""
-    size = np.maximum(np.diff(offsets) - n + 1, 0)
-    at = np.repeat(offsets[:-1] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    code = np.zeros(max(len(data) - n + 1, 0), np.uint32)
-    for k in range(n):
-        code = (code << np.uint32(8)) | data[k : k + len(code)]
-    if n > 2:
-        code = (code * np.uint32(2654435761)) >> np.uint32(10)
-    return code[at].astype(np.int64), np.repeat(np.arange(len(size)), size)
+def _slots(data: np.ndarray, offsets: np.ndarray, n: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slot and text of every n-gram that lies inside one text, `most` places of the data at a time."""
+    for a in range(0, len(data) - n + 1, most):
+        b = min(a + most, len(data) - n + 1)
+        code = np.zeros(b - a, np.uint32)
+        for k in range(n):
+            code = (code << np.uint32(8)) | data[a + k : b + k]
+        if n > 2:
+            code = (code * np.uint32(2654435761)) >> np.uint32(10)
+        low, high = np.searchsorted(offsets, [a, b - 1], "right") - 1
+        row = np.repeat(np.arange(low, high + 1), np.diff(np.clip(offsets[low : high + 2], a, b)))
+        inside = np.arange(a + n, b + n) <= offsets[row + 1]
+        yield code[inside].astype(np.int64), row[inside]
 
 
 def _presence(t: K.Texts, columns: dict[int, np.ndarray]) -> np.ndarray:
     """A row for each text: for each n, its kept n-grams as ones, divided by the root of their number."""
     data, parts = K.LOWER[t.data], []
     for n, column in columns.items():
-        slot, row = _slots(data, t.offsets, n)
         part = np.zeros((len(t.offsets) - 1, GRAMS[n] + 1), np.float32)
-        part.ravel()[row * (GRAMS[n] + 1) + column[slot]] = 1
+        for slot, row in _slots(data, t.offsets, n):
+            part.ravel()[row * (GRAMS[n] + 1) + column[slot]] = 1
         part = part[:, :-1]
         parts.append(part / np.sqrt(np.maximum(part.sum(axis=1, keepdims=True), 1)))
     return np.concatenate(parts, axis=1) / np.sqrt(len(columns))
 
 
+def _seen(t: K.Texts, n: int) -> np.ndarray:
+    """In how many texts each slot of n-grams occurs, a few texts at a time."""
+    out, rows = np.zeros(256**n if n < 3 else SLOTS, np.int64), len(t.offsets) - 1
+    for a in range(0, rows, 32):
+        part = _cut(t, a, min(a + 32, rows))
+        keys = [np.unique(slot * 32 + row) for slot, row in _slots(K.LOWER[part.data], part.offsets, n)]
+        if keys:
+            out += np.bincount(np.unique(np.concatenate(keys)) // 32, minlength=len(out))
+    return out
+
+
 def _cut(t: K.Texts, first: int, last: int) -> K.Texts:
     at = t.offsets[first : last + 1]
     return K.Texts(t.data[at[0] : at[-1]], at - at[0])
@@ -83,8 +97,7 @@ def fitted(texts: list[str], languages: list[str], landmarks: int = LANDMARKS) -
     t = K.texts(pa.array([x for x, _ in pairs], pa.string()))
     columns = {}
     for n, most in GRAMS.items():
-        slot, row = _slots(K.LOWER[t.data], t.offsets, n)
-        seen = np.bincount(np.unique(slot * len(pairs) + row) // len(pairs), minlength=256 if n == 1 else 65536 if n == 2 else SLOTS)
+        seen = _seen(t, n)
         best = np.argsort(-seen, kind="stable")[:most]
         best = best[seen[best] > 0]
         columns[n] = np.full(len(seen), most, np.int32)

@@ -33,7 +33,7 @@ def stream(n: int, seed: int) -> np.ndarray:
     return mixed((np.arange(1, n + 1, dtype=U64) + U64(seed << 32)) * U64(0x9E3779B97F4A7C15))
 
 
-#: A number for each place in a word (modulo 64) and byte.
+#: A number for each place in a stretch of 64 bytes and byte; each further stretch of a word has a factor of its own.
 PLACES = stream(64 * 256, 1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -108,23 +108,49 @@ def spans(t: Texts, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return start, end, np.searchsorted(t.offsets, start, "right") - 1
 
 
-def contributions(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What each byte of the given spans adds to its span's hash, and where each span begins among them."""
+def _sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     size = end - start
     first = np.cumsum(size) - size
     place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
     value = PLACES[((place & 63) << 8) | data[place + np.repeat(start, size)]]
-    if len(size) and size.max() > 64:
-        value *= (place >> 6).astype(U64) * U64(2) + U64(1)
-    return value, first
+    if size.max() > 64:
+        value *= _stretches(int(size.max() - 1 >> 6) + 1)[place >> 6]
+    return np.add.reduceat(value, first)
+
+
+def _stretches(n: int, first: int = 0) -> np.ndarray:
+    """An odd number for each stretch of 64 bytes, without pattern, 1 for a word's first."""
+    out = mixed((np.arange(first, first + n, dtype=U64) + U64(7 << 32)) * U64(0x9E3779B97F4A7C15)) | U64(1)
+    if not first:
+        out[:1] = 1
+    return out
+
+
+def sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Over the bytes of each span a sum of numbers that depend on byte and place; no span is empty. CHUNK bytes are
+    worked on at a time, however long a span is."""
+    size = end - start
+    out = np.zeros(len(start), U64)
+    upto = np.cumsum(size)
+    a = 0
+    while a < len(start):
+        b = int(np.searchsorted(upto, (upto[a] - size[a]) + CHUNK, "right"))
+        if b > a:
+            out[a:b] = _sums(data, start[a:b], end[a:b])
+            a = b
+        else:
+            for at in range(int(start[a]), int(end[a]), CHUNK):
+                part = data[at : min(at + CHUNK, int(end[a]))]
+                place = np.arange(len(part), dtype=np.int64)
+                value = PLACES[((place & 63) << 8) | part] * _stretches((len(part) + 63) >> 6, (at - int(start[a])) >> 6)[place >> 6]
+                out[a : a + 1] += value.sum(dtype=U64)
+            a += 1
+    return out
 
 
 def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, none of which is empty."""
-    if not len(start):
-        return np.zeros(0, U64)
-    value, first = contributions(data, start, end)
-    return mixed(np.add.reduceat(value, first))
+    return mixed(sums(data, start, end)) if len(start) else np.zeros(0, U64)
 
 
 def words(t: Texts, members: np.ndarray, lower: bool = True) -> Words:

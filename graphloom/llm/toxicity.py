@@ -6,7 +6,8 @@ document labels, by full-batch gradient steps on a bounded sample, and then loca
 Scoring is a pass over whole texts in arrays; nothing is shuffled.
 
 Defined results: null and empty texts have no sentence and score 0; with no labels, or labels of one class only, every
-score is 0 or 1 accordingly; a document with several labels counts as toxic if one says so; null labels are no labels.
+score is 0 or 1 accordingly; a document with several labels counts as toxic if one says so; null labels are no labels;
+of several rows with a labelled id one is learned from.
 """
 
 from __future__ import annotations
@@ -55,12 +56,9 @@ def bags(t: K.Texts) -> Bags:
     if not len(start):
         none = np.zeros(0, np.int64)
         return Bags(np.zeros((1 + len(BEGINNINGS), 0), np.int64), none, none, none, none)
-    value, first = K.contributions(data, start, end)
-    sums = np.concatenate([np.zeros(1, K.U64), np.cumsum(value)])
-    size = end - start
-    rows = [K.mixed(sums[first + size] - sums[first])]
+    rows = [K.hashed(data, start, end)]
     for k in BEGINNINGS:
-        rows.append(K.mixed(sums[first + np.minimum(size, k)] - sums[first] + K.U64(k)))
+        rows.append(K.mixed(K.sums(data, start, np.minimum(end, start + k)) + K.U64(k)))
     features = np.stack(rows) >> K.U64(46)
     breaks = np.cumsum(_ENDS[data])
     turn = breaks[start]
@@ -170,8 +168,10 @@ def learned(docs: DataFrame, labels: DataFrame, documents: dict[int, int] = DOCU
     chosen = sampled(known, "toxic", documents, 2)
     spark = docs.sparkSession
     ids = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "id long, toxic int"))
-    rows = bare(docs, doc_id=id_col, text=text_col).join(ids, F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    # of rows that share an id one is learned from, the one whose text has the least hash
+    rows = bare(docs, doc_id=id_col, text=text_col).join(ids, F.col("doc_id") == F.col("id"))
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return trained([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
