@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import VOCABULARY, digest, encoder
+from .encoding import VOCABULARY, digest, encoder, vocabulary_of
 from .tables import bare
 
 #: Tokens of a row; tokens that are packed together; the id that fills up a row stands after the vocabulary's.
@@ -88,7 +88,7 @@ def packed(sizes: np.ndarray, row: int = ROW) -> list[list[tuple[int, int, int]]
 _PACKED = "pack_sha256 string, n_tokens int, doc_ids array<long>, offsets array<int>, cu_seqlens array<int>, input_ids binary"
 
 
-def _packer(row: int, group: int, vocabulary: str):
+def _packer(row: int, group: int, vocabulary: bytes):
     def flush(docs: list, ids: list[np.ndarray], pad: int) -> pa.RecordBatch:
         rows = packed(np.array([len(x) for x in ids], np.int64), row)
         matrix = np.full((len(rows), row), pad, "<i4")
@@ -138,7 +138,7 @@ def packs(docs: DataFrame, row: int = ROW, group: int = GROUP, vocabulary: str =
 
     input_ids are little-endian 32-bit ids, `row` of them; what is past n_tokens is padding.
     """
-    return bare(docs, doc_id=id_col, text=text_col).mapInArrow(_packer(row, group, vocabulary), _PACKED)
+    return bare(docs, doc_id=id_col, text=text_col).mapInArrow(_packer(row, group, vocabulary_of(vocabulary)), _PACKED)
 
 
 def with_positions(rows: DataFrame) -> DataFrame:

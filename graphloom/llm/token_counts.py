@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import VOCABULARY, digest, encoder
+from .encoding import VOCABULARY, digest, encoder, vocabulary_of
 from .tables import bare
 
 RULES = ("first", "most", "share")
@@ -58,7 +58,7 @@ def allocated(edges: np.ndarray, begin: np.ndarray, end: np.ndarray, rule: str =
     return out, int((~inside).sum())
 
 
-def _attributor(fields: Sequence[str], rule: str, lines: bool, vocabulary: str):
+def _attributor(fields: Sequence[str], rule: str, lines: bool, vocabulary: bytes):
     kind = pa.list_(pa.struct([("field", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("tokens", pa.float64())]))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,7 @@ def token_counts(docs: DataFrame, fields: Sequence[str] = ("text",), rule: str =
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}, not {rule!r}")
     rows = bare(docs, doc_id=id_col, **{f"field_{k}": c for k, c in enumerate(fields)})
-    return rows.mapInArrow(_attributor(list(fields), rule, lines, vocabulary), _ATTRIBUTED)
+    return rows.mapInArrow(_attributor(list(fields), rule, lines, vocabulary_of(vocabulary)), _ATTRIBUTED)
 
 
 def summary(found: DataFrame) -> DataFrame:
