@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import saved
+from .tables import joined_by, saved, scratch
 
 
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
@@ -14,8 +14,8 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
     With both, u sees all its neighbours and the larger ones are tied anew; else it sees the smaller ones only.
     """
     seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else edges
-    least = seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    moved = seen.join(least, "u")
+    least = saved(seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k")), "least")
+    moved = joined_by(seen, least, ["u"], "k")
     if both:
         moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -27,16 +27,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every node that has an edge; component is the least node that it reaches.
 
     Alternates large and small stars until nothing moves; the rounds grow with the logarithm of the longest chain, and
-    each is two joins with minima that are combined before they are shuffled, so a node with very many edges is no hot
-    group. Nulls and loops are no edges.
+    each is two joins with minima that are combined before they are shuffled; the edges of a node that has very many are
+    joined in many tasks. Nulls and loops are no edges. The result is written.
     """
-    now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now, mark = saved(now, "edges"), None
-    while True:
-        print_of = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
-        new = now.agg(F.count("*").alias("n"), print_of.alias("h")).first()
-        if (new["n"], new["h"]) == mark or not new["n"]:
-            break
-        mark = (new["n"], new["h"])
-        now = saved(_stars(_stars(now, True), False), "stars")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    with scratch(edges.sparkSession):
+        now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+        now, mark = saved(now, "edges"), None
+        while True:
+            print_of = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+            new = now.agg(F.count("*").alias("n"), print_of.alias("h")).first()
+            if (new["n"], new["h"]) == mark or not new["n"]:
+                break
+            mark = (new["n"], new["h"])
+            now = saved(_stars(_stars(now, True), False), "stars")
+        centres = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+        return saved(now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(centres), "components", keep=True)

@@ -2,8 +2,8 @@
 
 DataFrame functions only. Texts are grouped by a 128-bit hash together with the text itself, so the aggregation's
 grouping compares bytes and a collision of hashes never joins two texts; copies are combined before the shuffle, so a
-text with very many copies is no hot group. Each row then finds its group by two digests; should two different texts
-agree in both, which is checked, rows are joined by text instead.
+text with very many copies is no hot group. Each row then finds its group by two digests, the rows of a large group in
+many tasks; should two different texts agree in both, which is checked, rows are joined by text instead.
 
 Defined results: a null text counts as empty, and empty texts are equal to each other; A-Z are lower-cased first unless
 told otherwise; null ids lose against any id; rows with the kept id in the same group are all kept, as one document.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import bare, saved
+from .tables import bare, joined_by, saved
 
 
 def lower_ascii(text: Column) -> Column:
@@ -38,7 +38,7 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", fold_case: bool =
     slim = saved(groups.select("hash", second.alias("second"), F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"), "groups")
     keyed = rows.withColumn("hash", hash_128).withColumn("second", second)
     if slim.groupBy("hash", "second").count().where("count > 1").isEmpty():
-        found = keyed.drop("text").join(slim, ["hash", "second"])
+        found = joined_by(keyed.drop("text"), slim, ["hash", "second"], "group_size")
     else:
         found = keyed.join(groups.withColumn("text_sha256", F.sha2("text", 256)), ["hash", "text"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

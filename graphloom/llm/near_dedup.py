@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import sketches as S
 from . import tokens as K
 from .components import components
-from .tables import bare, saved
+from .tables import bare, saved, scratch
 
 #: How far under the threshold an estimated similarity may lie if a pair's full sets are to be compared.
 MARGIN = 0.17
@@ -232,7 +232,12 @@ def _blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row; see the module's text for how and for odd cases."""
+    """(doc_id, n_shingles, component_id, kept) for every row, written; see the module's text for how and for odd cases."""
+    with scratch(docs.sparkSession):
+        return saved(_grouped(docs, percent, id_col, text_col), "near-duplicates", keep=True)
+
+
+def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     source = bare(docs, doc_id=id_col, text=text_col)
     features = saved(source.mapInArrow(_features, _FEATURES), "features")
     full = features.where("n_shingles > 0 and doc_id is not null")
@@ -255,7 +260,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     shared = F.size(F.array_intersect("members", "theirs"))
     tied = stars.join(members, "id").join(members.select(F.col("id").alias("hub"), F.col("members").alias("theirs")), "hub").where(100 * shared >= percent * (F.size("members") + F.size("theirs") - shared)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     tied = saved(tied, "tied")
-    first = saved(components(tied), "first")
+    first = components(tied)
 
     # what is left: buckets with several components
     def parts(rows: DataFrame) -> DataFrame:
@@ -263,10 +268,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     parted = saved(parts(buckets.select("key", "id")), "parted")
     likely = _by_group(_blocks(parted, "key", SKETCHES).join(slim, "id"), ("key", "x", "y"), _alike(percent))
-    clusters = saved(components(likely).select(F.col("id").alias("part"), F.col("component").alias("cluster")), "clusters")
+    clusters = components(likely).select(F.col("id").alias("part"), F.col("component").alias("cluster"))
     inside = saved(parts(leaders.select("id").distinct()).join(clusters, "part"), "inside")
     links = _by_group(_blocks(inside.select("cluster", "id", "part"), "cluster", SETS).join(members, "id"), ("cluster", "x", "y"), _confirmed(percent))
-    final = saved(components(tied.unionByName(saved(links, "links"))), "final")
+    final = components(tied.unionByName(saved(links, "links")))
 
     known = classes.join(final, "id", "left").select("print_a", "print_b", F.coalesce("component", "id").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "print_a", "print_b").join(known, ["print_a", "print_b"], "left")

@@ -1,38 +1,34 @@
-"""Tables between the steps of an operator, in the folder that all machines of the cluster share."""
+"""What the operators share: tables under an operator's own names, and joins that a hot key can't hold up."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: list[str] = []
+from ..storage import released, saved, scratch, shared_folder
 
+__all__ = ["bare", "joined_by", "released", "saved", "scratch", "shared_folder"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; only where it is unset, as in tests, a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="graphloom-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return _own[0]
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The table written as Parquet to the shared folder and read again: later steps don't repeat the work, and a lost
-    executor costs no more than the tasks that it ran."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/graphloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A key with more than one row in so many is hot: fewer than so many keys can be.
+HOT = 256
 
 
 def bare(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the given names: other columns can't clash with an operator's own."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
+
+
+def joined_by(rows: DataFrame, dims: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
+    """The inner join of rows with dims, a written table with one row for each key and in `weight` how many rows have it.
+
+    Rows of a key with more than 1/HOT of all rows are dealt to HOT tasks, each with a copy of the key's one row; which
+    keys these are is broadcast, and fewer than HOT can be. Null keys join nothing.
+    """
+    total = dims.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    hot = dims.where(F.col(weight) > total // HOT + 1).select(*keys, F.lit(True).alias("_hot"))
+    dealt = rows.join(F.broadcast(hot), list(keys), "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(HOT)).cast("int")).otherwise(0)).drop("_hot")
+    salts = F.when(F.col(weight) > total // HOT + 1, F.sequence(F.lit(0), F.lit(HOT - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(dims.withColumn("_salt", F.explode(salts)), [*keys, "_salt"]).drop("_salt")
