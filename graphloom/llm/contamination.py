@@ -1,25 +1,27 @@
 """Benchmark decontamination by a positional inverted index of the training documents.
 
-The index is cut by documents into segments, as search engines do: a segment has the postings of a few megabytes of
-text, for each term the sorted positions of its occurrences. Positions run through the whole segment with a gap between
-documents, so no match crosses from one into the next. Only terms that the test items use are stored, since others can't
-take part in a match; the stored table is read by any number of searches for these items.
+`indexed` stores the postings of all words of all documents, and `found_in` looks test items up in that table, for any
+number of item tables and window lengths. The index is cut by documents into segments, as search engines do: a segment
+has the postings of a few megabytes of text, for each term the sorted positions of its occurrences. A search reads the
+positions with a gap between documents, so no match crosses from one into the next.
 
 A test window is looked up from its rarest term, by the terms' counts over all documents: its positions, moved by the
 term's place in the window, are the possible starts; they are intersected with the moved list of the next rarer term,
-and so on through all terms. Windows that miss a term in a segment stop at once. All windows of a segment are searched
-together, in arrays.
+and so on through all terms. Windows that miss a term in a segment stop at once. The windows of a segment are searched
+together, in arrays, so many at a time that their rarest terms occur OCCURRENCES times.
 
-Test windows travel to the executors in tables of at most WINDOWS entries; more items are searched in parts, whose hits
-are united per row, by a key that is written once before the first part.
+Windows are made and told apart in tables. They travel to the executors WINDOWS at a time; more of them are searched in
+parts, each a pass over the index alone, and the parts' hits are united by row. Terms are 64-bit hashes of words.
 
 Defined results: null and empty texts have no words, and a row; items without words have no window, shorter items than
-a window are one; an item_id of null is left out of the listed items; rows that share a doc_id are judged each alone.
+a window are one; an item_id of null is left out of the listed items, though its windows hit; rows that share a doc_id
+are judged each alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -28,83 +30,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as K
-from .tables import bare, saved
+from .tables import bare, saved, scratch
 
 #: Words of a window.
 LENGTH = 10
-#: The most windows that are searched at once: 80 bytes each.
-WINDOWS = 500_000
+#: The most windows that are searched at once, 80 bytes each, and the most occurrences of rarest terms, some 50 bytes each.
+WINDOWS, OCCURRENCES = 500_000, 1 << 20
 
 _SEGMENT = "rows array<long>, doc_ids array<long>, n_words array<int>, terms array<long>, counts array<int>, gaps array<int>"
+_FOUND = "row long, hits array<long>, windows array<long>"
 
 
-class Windows(NamedTuple):
-    """Distinct windows of test items: terms as places in `vocabulary` (-1 past a shorter window's end), with the items
-    of window k in items[owner[k]:owner[k + 1]]."""
+def _one(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-    vocabulary: np.ndarray
-    terms: np.ndarray
-    size: np.ndarray
-    owner: np.ndarray
-    items: list[str]
+
+def _listed(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values, pa.int64()))
 
 
-def item_words(texts: list[str | None]) -> list[np.ndarray]:
-    t = K.texts(pa.array(texts, pa.string()))
-    w = K.words(t, K.LETTERED) if len(t.data) else None
-    return np.split(w.hash, np.cumsum(w.per_doc)[:-1]) if w else [np.zeros(0, K.U64) for _ in texts]
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, t in K.chunks(batches, "text"):
+        n_words, terms, counts, gaps = np.zeros(batch.num_rows, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(t.data):
+            w = K.words(t, K.LETTERED)
+            n_words = w.per_doc
+            if len(w.hash):
+                # a word's place in the segment is its position
+                at = np.argsort(w.hash, kind="stable")
+                term = w.hash[at]
+                first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+                gaps = np.diff(at, prepend=0)
+                gaps[first] = at[first]
+                terms, counts = term[first].view(np.int64), np.diff(np.append(first, len(term)))
+        yield pa.RecordBatch.from_arrays(
+            [_one(batch.column("row")), _one(batch.column("doc_id").cast(pa.int64())), *(_one(pa.array(x, kind)) for x, kind in ((n_words, pa.int32()), (terms, pa.int64()), (counts, pa.int32()), (gaps, pa.int32())))],
+            names=["rows", "doc_ids", "n_words", "terms", "counts", "gaps"],
+        )
 
 
-def windows_of(ids: list, texts: list[str | None], length: int = LENGTH) -> Windows:
-    """All windows of `length` consecutive words of the items; a shorter item with words is one window."""
-    owners: dict[bytes, dict[str, None]] = {}
-    for item, words in zip(ids, item_words(texts), strict=True):
-        for i in range(max(1, len(words) - length + 1) if len(words) else 0):
-            owners.setdefault(words[i : i + length].tobytes(), {})[str(item)] = None
-    hashes = [np.frombuffer(k, K.U64) for k in owners]
-    vocabulary = np.unique(np.concatenate([*hashes, np.zeros(0, K.U64)]))
-    terms = np.full((len(hashes), length), -1, np.int64)
-    for row, h in zip(terms, hashes, strict=True):
-        row[: len(h)] = np.searchsorted(vocabulary, h)
-    lists = [list(x) for x in owners.values()]
-    return Windows(vocabulary, terms, np.array([len(h) for h in hashes], np.int64), np.cumsum([0, *map(len, lists)]), [i for x in lists for i in x])
+def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """The written index of all documents, a row for each segment. `row_col` names a unique, written key of the rows;
+    else each row gets a number, which is kept with the index."""
+    source = bare(docs, doc_id=id_col, text=text_col, **({"row": row_col} if row_col else {}))
+    if row_col is None:
+        source = source.withColumn("row", F.monotonically_increasing_id())
+    return saved(source.mapInArrow(_segments, _SEGMENT), "postings")
 
 
-def _segments(vocabulary: np.ndarray, gap: int):
+class Windows(NamedTuple):
+    """Distinct windows: terms as places in `vocabulary` (-1 past a shorter window's end)."""
+
+    vocabulary: np.ndarray
+    terms: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
+
+
+def _windowed(length: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in K.chunks(batches, "text"):
-            n_docs = batch.num_rows
-            terms, counts, gaps, per_doc = np.zeros(0, np.int64), [], [], np.zeros(n_docs, np.int64)
-            if len(t.data):
-                w = K.words(t, K.LETTERED)
-                per_doc = w.per_doc
-                at = np.arange(len(w.hash)) + (w.doc + 1) * gap
-                place = np.minimum(np.searchsorted(vocabulary, w.hash), max(len(vocabulary) - 1, 0))
-                known = np.flatnonzero(vocabulary[place] == w.hash) if len(vocabulary) else np.zeros(0, np.int64)
-                order = known[np.argsort(place[known].astype(np.int32), kind="stable")]
-                if len(order):
-                    term, at = place[order], at[order]
-                    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-                    steps = np.diff(at, prepend=0)
-                    steps[first] = at[first]
-                    terms, counts, gaps = vocabulary[term[first]].view(np.int64), np.diff(np.append(first, len(term))), steps
-            yield pa.RecordBatch.from_arrays(
-                [_one(batch.column("row")), _one(batch.column("doc_id").cast(pa.int64())), _one(pa.array(per_doc, pa.int32())), _one(pa.array(terms, pa.int64())), _one(pa.array(counts, pa.int32())), _one(pa.array(gaps, pa.int32()))],
-                names=["rows", "doc_ids", "n_words", "terms", "counts", "gaps"],
-            )
+            if not len(t.data):
+                continue
+            w = K.words(t, K.LETTERED)
+            first = np.cumsum(w.per_doc) - w.per_doc
+            for item, a, n in zip(batch.column("item").to_pylist(), first.tolist(), w.per_doc.tolist(), strict=True):
+                if not n:
+                    continue
+                rows = np.lib.stride_tricks.sliding_window_view(w.hash[a : a + n], min(n, length)).view(np.int64)
+                for k in range(0, len(rows), 50_000):
+                    part = np.ascontiguousarray(rows[k : k + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(part), pa.string()), _listed(part.ravel(), np.full(len(part), part.shape[1]))], names=["item", "terms"])
 
     return of
 
 
-def _one(values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _windows(rows: pa.Table, length: int) -> Windows:
+    column = rows.column("terms").combine_chunks()
+    flat, size = column.flatten().to_numpy().view(np.uint64), column.value_lengths().to_numpy().astype(np.int64)
+    vocabulary, place = np.unique(flat, return_inverse=True)
+    terms = np.full((len(size), length), -1, np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    terms[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = place
+    return Windows(vocabulary, terms, size, rows.column("window").to_numpy())
 
 
 class Segment(NamedTuple):
     """Postings as one sorted array of term << 32 | position; the list of term t is keys[lists[t]:lists[t + 1]]."""
 
-    rows: pa.Array
-    doc_ids: pa.Array
+    rows: np.ndarray
     n_words: np.ndarray
     base: np.ndarray
     keys: np.ndarray
@@ -118,157 +132,172 @@ class Segment(NamedTuple):
 
 
 def _opened(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, gap: int) -> Iterator[Segment]:
+    """The segments that have a term of the vocabulary, with these terms' postings."""
     for batch in batches:
         for i in range(batch.num_rows):
-            rows, doc_ids, n_words, terms, counts, gaps = (batch.column(c)[i].values for c in ("rows", "doc_ids", "n_words", "terms", "counts", "gaps"))
-            n_words, terms, counts, gaps = n_words.to_numpy().astype(np.int64), terms.to_numpy().view(np.uint64), counts.to_numpy().astype(np.int64), gaps.to_numpy().astype(np.int64)
-            base = np.cumsum(n_words) - n_words + (np.arange(len(n_words)) + 1) * gap
-            at = np.cumsum(gaps)
-            first = np.cumsum(counts) - counts
-            at -= np.repeat(at[first] - gaps[first], counts) if len(counts) else 0
-            place = np.searchsorted(vocabulary, terms)
-            ours = vocabulary[np.minimum(place, len(vocabulary) - 1)] == terms if len(vocabulary) else np.zeros(len(terms), bool)
-            keep, place, counts = np.repeat(ours, counts), place[ours], counts[ours]
+            terms = batch.column("terms")[i].values.to_numpy().view(np.uint64)
+            place = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+            ours = vocabulary[place] == terms
+            if not ours.any():
+                continue
+            counts, gaps, n_words = (batch.column(c)[i].values.to_numpy().astype(np.int64) for c in ("counts", "gaps", "n_words"))
+            at, first = np.cumsum(gaps), np.cumsum(counts) - counts
+            at = (at - np.repeat(at[first] - gaps[first], counts))[np.repeat(ours, counts)]
+            place, counts = place[ours], counts[ours]
+            # words without gaps between the documents until here
+            at += (np.searchsorted(np.cumsum(n_words), at, "right") + 1) * gap
             lists = np.zeros(len(vocabulary) + 1, np.int64)
             lists[place + 1] = counts
-            yield Segment(rows, doc_ids, n_words, base, (np.repeat(place, counts) << 32) | at[keep], np.cumsum(lists))
+            base = np.cumsum(n_words) - n_words + (np.arange(len(n_words)) + 1) * gap
+            yield Segment(batch.column("rows")[i].values.to_numpy(), n_words, base, (np.repeat(place, counts) << 32) | at, np.cumsum(lists))
 
 
-def _phrases(s: Segment, w: Windows, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of every occurrence; order: each window's offsets from the rarest term on."""
+def _rarest(s: Segment, w: Windows, order: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, position of its rarest term) for all windows whose terms the segment has, about `most` at a time."""
     here = np.diff(s.lists)
-    listed = np.where(w.terms >= 0, here[w.terms], 1).min(axis=1, initial=1) > 0
-    window = np.flatnonzero(listed)
-    offset = order[window, 0]
-    anchor = w.terms[window, offset]
-    size = here[anchor]
-    at = np.repeat(s.lists[anchor] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    start = (s.keys[at] & 0xFFFFFFFF) - np.repeat(offset, size)
-    window = np.repeat(window, size)
-    for k in range(1, w.terms.shape[1]):
-        if not len(window):
-            break
-        offset = order[window, k]
-        term = w.terms[window, offset]
-        ok = (term < 0) | s.has(np.maximum(term, 0), start + offset)
-        window, start = window[ok], start[ok]
-    return window, start
-
-
-def _nearby(s: Segment, w: Windows, order: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of every stretch of `span` words, beginning at one of them, that has all the window's terms."""
-    here = np.diff(s.lists)
-    listed = np.where(w.terms >= 0, here[w.terms], 1).min(axis=1, initial=1) > 0
-    window = np.flatnonzero(listed)
+    window = np.flatnonzero(np.where(w.terms >= 0, here[w.terms], 1).min(axis=1, initial=1) > 0)
     anchor = w.terms[window, order[window, 0]]
     size = here[anchor]
-    at = np.repeat(s.lists[anchor] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    rare, window = s.keys[at] & 0xFFFFFFFF, np.repeat(window, size)
-    start = (rare[:, None] - np.arange(span)).ravel()
-    window = np.repeat(window, span)
-    begins = np.zeros(len(start), bool)
-    for k in range(w.terms.shape[1]):
-        if not len(window):
-            break
-        term = w.terms[window, order[window, k]]
-        next_at = np.searchsorted(s.keys, (np.maximum(term, 0) << 32) | np.maximum(start, 0))
-        found = s.keys[np.minimum(next_at, len(s.keys) - 1)]
-        ok = (term < 0) | ((found >> 32 == term) & ((found & 0xFFFFFFFF) < start + span) & (next_at < len(s.keys)))
-        begins |= (term >= 0) & ok & ((found & 0xFFFFFFFF) == start)
-        window, start, begins = window[ok], start[ok], begins[ok]
-    found = np.unique(np.stack([window[begins], start[begins]], 1), axis=0)
-    return found[:, 0], found[:, 1]
+    upto, a = np.cumsum(size), 0
+    while a < len(window):
+        b = max(int(np.searchsorted(upto, (upto[a] - size[a]) + most, "right")), a + 1)
+        n = size[a:b]
+        at = np.repeat(s.lists[anchor[a:b]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        yield np.repeat(window[a:b], n), s.keys[at] & 0xFFFFFFFF
+        a = b
+
+
+def _phrases(s: Segment, w: Windows, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, start) of every occurrence; order: each window's offsets from the rarest term on."""
+    for window, start in _rarest(s, w, order, OCCURRENCES):
+        start = start - order[window, 0]
+        for k in range(1, w.terms.shape[1]):
+            if not len(window):
+                break
+            offset = order[window, k]
+            term = w.terms[window, offset]
+            ok = (term < 0) | s.has(np.maximum(term, 0), start + offset)
+            window, start = window[ok], start[ok]
+        yield window, start
+
+
+def _nearby(s: Segment, w: Windows, order: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, start) of every stretch of `span` words, beginning at one of them, that has all the window's terms."""
+    for window, rare in _rarest(s, w, order, max(1, OCCURRENCES // span)):
+        start = (rare[:, None] - np.arange(span)).ravel()
+        window = np.repeat(window, span)
+        begins = np.zeros(len(start), bool)
+        for k in range(w.terms.shape[1]):
+            if not len(window):
+                break
+            term = w.terms[window, order[window, k]]
+            next_at = np.searchsorted(s.keys, (np.maximum(term, 0) << 32) | np.maximum(start, 0))
+            found = s.keys[np.minimum(next_at, len(s.keys) - 1)]
+            ok = (term < 0) | ((found >> 32 == term) & ((found & 0xFFFFFFFF) < start + span) & (next_at < len(s.keys)))
+            begins |= (term >= 0) & ok & ((found & 0xFFFFFFFF) == start)
+            window, start, begins = window[ok], start[ok], begins[ok]
+        yield window[begins], start[begins]
 
 
 def _search(w: Windows, gap: int, frequency: np.ndarray, span: int | None):
-    rarity = np.where(w.terms >= 0, frequency[w.terms] if len(frequency) else 0, np.iinfo(np.int64).max)
+    rarity = np.where(w.terms >= 0, frequency[w.terms], np.iinfo(np.int64).max)
     order = np.argsort(rarity, axis=1, kind="stable")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _opened(batches, w.vocabulary, gap):
-            n_docs = len(s.n_words)
-            hits, hit_of, items = np.zeros(0, np.int64), np.zeros(n_docs, np.int64), [[] for _ in range(n_docs)]
-            if len(s.keys) and len(w.size):
-                window, start = _phrases(s, w, order) if span is None else _nearby(s, w, order, span)
-                doc = np.searchsorted(s.base, start, "right") - 1
-                long = w.size[window] if span is None else np.full(len(window), span)
-                edge = np.zeros(int(s.base[-1] + s.n_words[-1]) + gap + 1, np.int32)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, np.minimum(start + long, (s.base + s.n_words)[doc]), -1)
-                place = np.flatnonzero(np.cumsum(edge) > 0)
-                owner = np.searchsorted(s.base, place, "right") - 1
-                hits, hit_of = place - s.base[owner], np.bincount(owner, minlength=n_docs)
-                for d, k in np.unique(np.stack([doc, window], 1), axis=0).tolist():
-                    items[d] += w.items[w.owner[k] : w.owner[k + 1]]
-            ends = np.concatenate([[0], np.cumsum(hit_of)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [s.rows, s.doc_ids, pa.array(s.n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(hits, pa.int64())), pa.array([sorted(set(x) - {"None"}) for x in items], pa.list_(pa.string()))],
-                names=["row", "doc_id", "n_words", "hits", "items"],
-            )
+            parts = list(_phrases(s, w, order) if span is None else _nearby(s, w, order, span))
+            window, start = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            if not len(window):
+                continue
+            doc = np.searchsorted(s.base, start, "right") - 1
+            long = w.size[window] if span is None else np.full(len(window), span)
+            edge = np.zeros(int(s.base[-1] + s.n_words[-1]) + gap + 1, np.int32)
+            np.add.at(edge, start, 1)
+            np.add.at(edge, np.minimum(start + long, (s.base + s.n_words)[doc]), -1)
+            place = np.flatnonzero(np.cumsum(edge) > 0)
+            owner = np.searchsorted(s.base, place, "right") - 1
+            pairs = np.unique(np.stack([doc, window], 1), axis=0)
+            docs, n_windows = np.unique(pairs[:, 0], return_counts=True)
+            n_hits = np.bincount(owner, minlength=len(s.base))[docs]
+            yield pa.RecordBatch.from_arrays([pa.array(s.rows[docs], pa.int64()), _listed(place - s.base[owner], n_hits), _listed(w.ids[pairs[:, 1]], n_windows)], names=["row", "hits", "windows"])
 
     return of
 
 
-_MATCHES = "row long, doc_id long, n_words long, hits array<long>, items array<string>"
+def _totals(vocabulary: np.ndarray):
+    """Each task's number of postings by term of the vocabulary."""
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            terms, counts = (batch.column(c).flatten().to_numpy() for c in ("terms", "counts"))
+            place = np.minimum(np.searchsorted(vocabulary, terms.view(np.uint64)), len(vocabulary) - 1)
+            ours = vocabulary[place] == terms.view(np.uint64)
+            total += np.bincount(place[ours], weights=counts[ours], minlength=len(vocabulary)).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["term", "n"])
 
-def matches(docs: DataFrame, items: DataFrame, length: int = LENGTH, span: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """(doc_id, n_words, hits, items) for every document: the places of words inside an occurrence, and the items.
+    return of
+
+
+def found_in(index: DataFrame, items: DataFrame, length: int = LENGTH, span: int | None = None, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(row, doc_id, n_words, hits, items), written, for every document of the index: the places of words inside an
+    occurrence, and the items whose windows occur, as sorted strings.
 
     A window occurs where its words stand as a phrase or, with `span`, where some `span` words have all of them in any
-    order (proximity; the hits are then the words of that stretch). `row_col` names a unique, written key of the rows,
-    which comes back as `row`.
+    order (proximity; the hits are then the words of that stretch).
     """
     if span is not None and span < length:
         raise ValueError("span must be at least the window's length")
+    with scratch(index.sparkSession):
+        return saved(_looked_up(index, bare(items, item=item_col, text=item_text_col), length, span), "matches", keep=True)
+
+
+def _looked_up(index: DataFrame, asked: DataFrame, length: int, span: int | None) -> DataFrame:
     gap = max(length, span or 0) + 1
-    asked = bare(items, item_id=item_col, text=item_text_col).where("text is not null")
-    total = asked.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    parts = 1 + total // (2 * WINDOWS)  # a window begins with a word and a separator
-    if row_col is not None:
-        source = bare(docs, row=row_col, doc_id=id_col, text=text_col)
-    else:
-        source = bare(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
-        source = source if parts == 1 else saved(source, "rows")
-    listed = ["row"] * (row_col is not None) + ["doc_id", "n_words", "hits", "items"]
+    asked = asked.select(F.col("item").cast("string").alias("item"), "text")
+    made = saved(asked.mapInArrow(_windowed(length), "item string, terms array<long>"), "item-windows")
+    distinct = saved(made.select("terms").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
+    owners = saved(made.where("item is not null").join(distinct, "terms").select("window", "item").distinct(), "owners")
+    n = distinct.count()
+    parts = -(-n // WINDOWS)
     found = []
     for k in range(parts):
-        rows = asked.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect()
-        w = windows_of([r["item_id"] for r in rows], [r["text"] for r in rows], length)
-        index = saved(source.mapInArrow(_segments(w.vocabulary, gap), _SEGMENT), "postings")
-        counted = {r["term"]: r["n"] for r in index.mapInArrow(_totals, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-        frequency = np.array([counted.get(t, 0) for t in w.vocabulary.view(np.int64).tolist()], np.int64)
-        found.append(index.mapInArrow(_search(w, gap, frequency, span), _MATCHES))
-    if parts == 1:
-        return found[0].select(listed)
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    hits, items = (F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items"))
-    return every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), hits, items).select(listed)
-
-
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each task's number of postings by term."""
-    total: dict[int, int] = {}
-    for batch in batches:
-        for terms, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            for t, n in zip(terms, counts, strict=True):
-                total[t] = total.get(t, 0) + n
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+        w = _windows(distinct.where(F.pmod("window", F.lit(parts)) == k).toArrow(), length)
+        if not len(w.size):
+            continue
+        counted = index.select("terms", "counts").mapInArrow(_totals(w.vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        frequency = np.zeros(len(w.vocabulary), np.int64)
+        frequency[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+        found.append(saved(index.mapInArrow(_search(w, gap, frequency, span), _FOUND), "found"))
+    docs = index.select(F.explode(F.arrays_zip("rows", "doc_ids", "n_words")).alias("d")).select(F.col("d.rows").alias("row"), F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").cast("long").alias("n_words"))
+    nothing = F.array().cast("array<long>"), F.array().cast("array<string>")
+    if not found:
+        return docs.select("*", nothing[0].alias("hits"), nothing[1].alias("items"))
+    every = reduce(DataFrame.unionByName, found)
+    hits = every.select("row", "hits") if parts == 1 else every.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
+    named = every.select("row", F.explode("windows").alias("window")).join(owners, "window").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = docs.join(hits, "row", "left").join(named, "row", "left")
+    return out.select("row", "doc_id", "n_words", F.coalesce("hits", nothing[0]).alias("hits"), F.coalesce("items", nothing[1]).alias("items"))
+
+
+def matches(docs: DataFrame, items: DataFrame, length: int = LENGTH, span: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """found_in for documents that are indexed for this search alone."""
+    with scratch(docs.sparkSession):
+        found = found_in(indexed(docs, id_col, text_col, row_col), items, length, span, item_col, item_text_col)
+        return saved(found, "matches", keep=True)
 
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits, items) for every document, after `row` where
-    `row_col` is given."""
-    found = matches(docs, items, **options)
-    return found.select(
-        *(c for c in ("row",) if c in found.columns),
+    """(row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits, items) for every document; row is the key
+    that `row_col` names, or a number."""
+    return matches(docs, items, **options).select(
+        "row",
         "doc_id",
         "n_words",
         F.size("hits").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
         "hits",
         "items",
