@@ -12,9 +12,10 @@ from .contamination import contamination
 from .exact_dedup import exact_duplicates
 from .mixing import mixed, words_taken
 from .near_dedup import near_duplicates
-from .packing import packs
+from .packing import packs, with_positions
 from .session import table
-from .sharding import sharded
+from .sharding import filled, sharded
+from .tables import saved
 from .token_counts import summary, token_counts
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -27,18 +28,18 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its words inside benchmark windows, and a digest of the items."""
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits", "items")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row", "hits", "items")
 
 
 def _remainder(parts: int) -> Column:
-    """What is held out of learning goes by a document's id alone."""
-    return F.crc32(F.col("doc_id").cast("string")) % parts
+    """What is held out of learning goes by a document's id alone; a null id is neither learned from nor held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts, F.lit(-1))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its language, by a model that has seen none of the documents held out."""
     docs = table(spark, sf_dir, "documents")
-    model = language.learned(docs.where(_remainder(4) != 2))
+    model = language.learned(docs.where(_remainder(4).isin(0, 1, 3)))
     found = language.identified(docs, model)
     return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
@@ -46,7 +47,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its toxicity, by a model that has seen no label of the documents held out."""
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.learned(docs, table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels").where(_remainder(5) > 0))
     found = toxicity.scored(docs, model)
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -63,12 +64,24 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its slot and shard."""
-    return sharded(table(spark, sf_dir, "documents").select("doc_id"))
+    return sharded(table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per packed row of ids: its segments, their documents, and a digest of its ids."""
-    return packs(table(spark, sf_dir, "documents")).drop("input_ids")
+    """One row per packed row of ids: its segments, their documents, and digests of its ids and of its position ids, which
+    are taken from the written rows."""
+    rows = saved(with_positions(packs(table(spark, sf_dir, "documents"))), "packs")
+    filled = F.expr("substring(input_ids, 1, 4 * n_tokens)")
+    return rows.select(
+        F.sha2(filled, 256).alias("pack_sha256"),
+        "n_tokens",
+        "doc_ids",
+        "offsets",
+        "cu_seqlens",
+        (F.length("input_ids") / 4).cast("int").alias("n_ids"),
+        F.size(F.filter("position_ids", lambda p: p == 0)).alias("n_resets"),
+        F.sha2(F.array_join(F.col("position_ids").cast("array<string>"), ","), 256).alias("positions_sha256"),
+    )
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_personal_data": op10_personal_data,
 }
 
+#: The table of shards, as the query has it, one after another.
+_SHARDS = ",".join(map(str, filled([f"shard-{k}" for k in range(64)])))
 _LETTERED = r"regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".replace("{_AZ}", _AZ)
 
 SQL: dict[str, str] = {
@@ -116,6 +131,10 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), {_AZ}) AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)""",
+    "op8_sharding": f"""
+WITH t AS MATERIALIZED (SELECT string_split('{_SHARDS}', ',') AS shards),
+d AS (SELECT doc_id, (('0x' || substr(md5(coalesce('k' || doc_id, 'null')), 1, 12))::BIGINT % 65537)::INT AS slot FROM documents)
+SELECT doc_id, slot, shards[slot + 1]::INT AS shard FROM d, t""",
     "op7_near_dedup": rf"""
 WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents
