@@ -1,7 +1,8 @@
 """A corpus in five steps: toxic documents go, near copies go, benchmark passages go, sources are mixed, rows are sharded.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that the next one gets written and read again; all but the
-last return the columns of `documents`.
+last return the columns of `documents`. A stage first notes which rows go, or how often they are taken, in a small table,
+which travels to the rows if it is small enough; what the operators wrote on the way is deleted by then.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from graphloom.llm.mixing import mixed
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.session import table
 from graphloom.llm.sharding import sharded
-from graphloom.llm.tables import saved
+from graphloom.llm.tables import saved, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,22 +37,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the least id; null is the greatest."""
     docs = _keyed(docs)
-    groups = near_duplicates(docs.select("_row", "text"), percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    least = groups.join(docs.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least"))
-    return docs.join(least.select("least._row"), "_row", "left_semi").select(*COLUMNS)
+    with scratch(spark):
+        groups = near_duplicates(docs.select("_row", "text"), percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+        least = groups.join(docs.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least"))
+        gone = saved(groups.join(least.select("least._row"), "_row", "left_anti").select("_row"), "gone", keep=True)
+    return docs.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten consecutive words of a benchmark item, nor a shorter item as a whole."""
     docs = _keyed(docs)
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), row_col="_row").where("contaminated")
-    return docs.join(found.select(F.col("row").alias("_row")), "_row", "left_anti").select(*COLUMNS)
+    with scratch(spark):
+        found = contamination(docs, table(spark, sf_dir, "benchmark"), row_col="_row").where("contaminated")
+        gone = saved(found.select(F.col("row").alias("_row")), "gone", keep=True)
+    return docs.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, whole."""
     docs = _keyed(docs)
-    times = mixed(docs, whole=True, row_col="_row").draws.groupBy(F.col("row").alias("_row")).agg(F.count("*").cast("int").alias("_times"))
+    with scratch(spark):
+        times = mixed(docs, whole=True, row_col="_row").draws.groupBy(F.col("row").alias("_row")).agg(F.count("*").cast("int").alias("_times"))
+        times = saved(times, "times", keep=True)
     return docs.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 
@@ -76,5 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return docs
