@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 from .model import Endpoint, Project
@@ -44,8 +45,17 @@ def description(p: Project) -> dict[str, Any]:
         if paths.setdefault(e.route, {}).setdefault(e.method, _operation(e))["operationId"] == e.handler:
             schemas[f"{e.model}Request"] = schema_of(e.request or {"type": "object", "properties": {}})
             schemas[f"{e.model}Response"] = schema_of(e.response or {"type": "object", "properties": {}})
+    parts = []
+    for n in p.others:
+        config = n.get("config") if isinstance(n.get("config"), dict) else {}
+        part = {"id": str(n.get("id") or ""), "type": str(n.get("type") or ""), "name": str(n.get("name") or ""), "config": [str(k) for k in config][:8]}
+        schema = n.get("schema") or config.get("schema")
+        if isinstance(schema, dict) and schema:
+            name = re.sub(r"[^A-Za-z0-9]", "", f"{part['type']} {part['id']}") or "Component"
+            schemas.setdefault(name, schema_of(schema))
+            part["schemaRef"] = f"#/components/schemas/{name}"
+        parts.append(part)
     components = {"schemas": schemas}
-    parts = [{"id": str(n.get("id") or ""), "type": str(n.get("type") or ""), "name": str(n.get("name") or ""), "config": list((n.get("config") or {}) if isinstance(n.get("config"), dict) else {})[:8]} for n in p.others]
     return {"openapi": "3.0.3", "info": {"title": p.name, "version": "0.1.0"}, "paths": paths, "components": components, "x-components": parts}
 
 

@@ -29,15 +29,50 @@ def compact(value: Any) -> str:
     return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
 
 
+def literal(value: Any) -> str:
+    """A JSON value as Python writes it, without blanks."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{compact(str(k))}:{literal(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(literal, value)) + "]"
+    return str(value) if value is None or isinstance(value, bool) else compact(value)
+
+
+def one_line(text: Any) -> str:
+    """A text that fits into a comment."""
+    return " ".join(str(text).split())
+
+
 def _record(value: Any) -> dict[str, Any]:
     return value if isinstance(value, dict) else {}
 
 
-def step_kind(node: dict[str, Any]) -> str:
-    """What an inner node does: a transform node by its config's transform, others by their type."""
-    kind, config = str(node.get("type") or node.get("kind") or "step").lower(), node.get("config")
-    told = config.get("transform") if kind == "transform" and isinstance(config, dict) else None
-    return told if isinstance(told, str) and told else kind
+@dataclass
+class Step:
+    """What an inner node does: authenticate, validate, parse, retry, guard, or something of its own, which `kind` then
+    says. attempts: of a retry."""
+
+    kind: str
+    label: str
+    attempts: int = 1
+
+
+def step(node: dict[str, Any]) -> Step:
+    """A transform node does what its config's transform says, others what their type or config says."""
+    kind, config = str(node.get("type") or node.get("kind") or "step").lower(), _record(node.get("config"))
+    told = config.get("transform") if kind == "transform" else None
+    told = told.lower() if isinstance(told, str) and told else kind
+    label = str(node.get("name") or node.get("id") or "step")
+    for part, does in (("auth", "authenticate"), ("valid", "validate"), ("parse", "parse")):
+        if part in told:
+            return Step(does, label)
+    if kind == "retry" or config.get("retryPolicy"):
+        asked = {**_record(config.get("retryPolicy")), **config}
+        number = asked.get("maxAttempts") or asked.get("max_attempts") or 3
+        return Step("retry", label, int(number) if str(number).isdigit() else 3)
+    if kind == "error-handler" or config.get("errorHandling"):
+        return Step("guard", label)
+    return Step(told, label)
 
 
 @dataclass
@@ -54,7 +89,9 @@ class Endpoint:
     timeout_ms: int
     retry: dict[str, Any]
     breaker: dict[str, Any] | None
-    inner: list[dict[str, Any]] = field(default_factory=list)
+    steps: list[Step] = field(default_factory=list)
+    note: str = ""
+    settings: dict[str, Any] = field(default_factory=dict)
 
     @property
     def has_body(self) -> bool:
@@ -115,7 +152,9 @@ def endpoint(node: dict[str, Any], edges: list[Any], merge_data: bool) -> Endpoi
         timeout_ms=int(by_edges.get("timeout") or config.get("timeoutMs") or TIMEOUT_MS),
         retry=by_edges.get("retry") or config.get("retryPolicy") or dict(RETRY),
         breaker=by_edges.get("circuitBreaker"),
-        inner=[n for n in node.get("innerNodes") or [] if isinstance(n, dict)],
+        steps=[step(n) for n in node.get("innerNodes") or [] if isinstance(n, dict)],
+        note=one_line(config.get("businessLogic") or node.get("businessLogic") or node.get("description") or ""),
+        settings={"operation": str(config.get("operation") or "read"), "key": str(config.get("primaryKey") or "id"), "table": str(config.get("table") or "records"), "query": str(config.get("query") or "")},
     )
 
 

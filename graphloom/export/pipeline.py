@@ -54,15 +54,24 @@ def project_files(document: Any, target: str, port: int = 8080, name: str | None
     return completed(made, kind, port)
 
 
+def _loaded(raw: str | None) -> Any:
+    """The document, or nothing where it can't be parsed."""
+    try:
+        return json.loads(raw or "")
+    except ValueError:
+        return None
+
+
 def generated(documents: DataFrame, target: str, port: int = 8080) -> DataFrame:
-    """(graph_id, path, content) of (graph_id, raw) documents."""
+    """(graph_id, path, content) of (graph_id, raw) documents; one that can't be parsed has no files."""
     check_target(target)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH):
                 part = batch.slice(a, BATCH)
-                rows = [(g, path, text) for g, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for path, text in project_files(json.loads(raw), target, port).items()]
+                parsed = [(g, _loaded(raw)) for g, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                rows = [(g, path, text) for g, document in parsed if document is not None for path, text in project_files(document, target, port).items()]
                 columns = list(zip(*rows, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], part.schema.field(0).type), *(pa.array(c, pa.string()) for c in columns[1:])], names=["graph_id", "path", "content"])
 
@@ -80,6 +89,7 @@ def exported(documents: DataFrame, target: str, port: object = 8080, skip_struct
     """Projects of (graph_id, raw) documents that have no structural error; without the structural pass, of those whose
     shape lets lint look into them."""
     check_target(target)
+    documents = rewrapped(documents)
     tables = graphs_of_json(documents).saved()
     none = structural_findings(tables).limit(0)
     lint = none
