@@ -79,13 +79,9 @@ def supply(spark: SparkSession, folder: str) -> GraphTables:
 
 
 def talks(spark: SparkSession, folder: str) -> GraphTables:
-    """One graph for each conversation: a chain of its turns, every tenth bent back to its beginning."""
-    return _chains(read(spark, folder, "conversations").select(F.col("conv_id").alias("graph_id"), "turn", "role", (F.col("conv_id") % 10 == 0).alias("bent")))
-
-
-def named_talks(spark: SparkSession, folder: str) -> GraphTables:
-    """talks with conv_id as text, and '' where it is null: those turns are a conversation too. Rows of one turn, which
-    only a null conv_id should have, count once, with the greatest role."""
+    """One graph for each conversation: a chain of its turns, every tenth bent back to its beginning. Graphs go by conv_id
+    as text, '' where it is null: those turns are a conversation too. Rows of one turn, which only a null conv_id should
+    have, count once, with the greatest role."""
     name = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
     rows = read(spark, folder, "conversations").groupBy("conv_id", "turn").agg(F.max("role").alias("role"))
     return _chains(rows.select(name.alias("graph_id"), "turn", "role", (F.col("conv_id") % 10 == 0).alias("bent")))
@@ -107,11 +103,10 @@ def page_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def health_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """(graph_id, page_id, path): paths of pages with typical endings, left out of graph 3 where they'd be healthy."""
+    """(graph_id, page_id, path): paths of pages with typical endings, but for graph 3 none that is healthy."""
     k = F.col("page_id") % 7
-    ending = F.when(k == 0, "/health").when(k == 1, "/healthz?x=1").when(k == 2, "/unhealthy").when(k == 3, "/ping/").when(k == 4, "/statusx").otherwise("")
-    rows = page_paths(spark, folder).select((F.col("page_id") % 20).alias("graph_id"), "page_id", F.concat("path", ending).alias("path"))
-    return rows.where((F.col("graph_id") != 3) | k.isin(2, 4, 5))
+    ending = F.when((F.col("page_id") % 20 == 3) & k.isin(0, 1, 3), "").when(k == 0, "/health").when(k == 1, "/healthz?x=1").when(k == 2, "/unhealthy").when(k == 3, "/ping/").when(k == 4, "/statusx").otherwise("")
+    return page_paths(spark, folder).select((F.col("page_id") % 20).alias("graph_id"), "page_id", F.concat("path", ending).alias("path"))
 
 
 def damaged(spark: SparkSession, folder: str) -> GraphTables:

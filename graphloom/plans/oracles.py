@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import document_oracles
+
 # The words by which types are classified, here in the other engine's own regular expressions.
 _HTTP = r"(type IN ('http','https','rest','api','graphql','gateway','bff','grpc') OR regexp_matches(type, '\b(api|gateway|bff|graphql|grpc)\b'))"
 _DB = r"regexp_matches(type, '\b(db|database|datastore)\b|postgres|mongodb|mysql|sqlite|redis|cassandra|dynamo|sql|nosql|warehouse|s3')"
@@ -69,15 +71,22 @@ walk AS (
   UNION SELECT sync.graph_id, sync.dst, k + 1 FROM walk JOIN sync ON sync.graph_id = walk.graph_id AND sync.src = walk.id
 )"""
 
+# every turn leads to one other at most, so a walk from an entry is a path until it ends or meets itself
 _TALKS = """
-WITH RECURSIVE n AS (SELECT conv_id AS g, turn, role FROM conversations),
-e AS (SELECT a.g, a.turn AS src, b.turn AS dst FROM n a JOIN n b ON a.g = b.g AND b.turn = a.turn + 1)"""
+WITH RECURSIVE n AS MATERIALIZED (SELECT coalesce(conv_id::VARCHAR, '') AS g, conv_id, turn, max(role) AS role FROM conversations GROUP BY ALL),
+e AS MATERIALIZED (SELECT a.g, a.turn AS src, b.turn AS dst FROM n a JOIN n b ON a.g = b.g AND b.turn = a.turn + 1 UNION ALL SELECT g, max(turn), min(turn) FROM n WHERE conv_id % 10 = 0 GROUP BY 1),
+h AS MATERIALIZED (SELECT g, turn, EXISTS (SELECT 1 FROM e WHERE e.g = n.g AND dst = n.turn) AS entered FROM n WHERE role = 'user')"""
+_DEPTHS = f"""{_TALKS}, w AS (
+  SELECT g, turn AS root, turn, 0 AS k, [turn] AS seen, false AS closed FROM h WHERE NOT entered OR g NOT IN (SELECT g FROM h WHERE NOT entered)
+  UNION ALL SELECT e.g, root, e.dst, k + 1, list_append(seen, e.dst), list_contains(seen, e.dst) FROM w JOIN e ON e.g = w.g AND e.src = w.turn WHERE NOT closed
+) SELECT nullif(g, '')::BIGINT AS graph_id, max(k) AS max_depth FROM w GROUP BY 1"""
+_CYCLES = f"""{_TALKS} SELECT conv_id AS graph_id, string_agg('t' || turn, ' ' ORDER BY turn) AS path FROM n WHERE conv_id % 10 = 0 GROUP BY 1 HAVING max(turn) - min(turn) + 1 = count(*)"""
 
 _PATHS = r"pages_path AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages)"
 _HEALTH = f"""
 WITH {_PATHS}, h AS (
-  SELECT page_id % 20 AS graph_id, page_id, path || CASE page_id % 7 WHEN 0 THEN '/health' WHEN 1 THEN '/healthz?x=1' WHEN 2 THEN '/unhealthy' WHEN 3 THEN '/ping/' WHEN 4 THEN '/statusx' ELSE '' END AS path
-  FROM pages_path WHERE page_id % 20 <> 3 OR page_id % 7 IN (2, 4, 5)
+  SELECT page_id % 20 AS graph_id, page_id, path || CASE WHEN page_id % 20 = 3 AND page_id % 7 IN (0, 1, 3) THEN '' WHEN page_id % 7 = 0 THEN '/health' WHEN page_id % 7 = 1 THEN '/healthz?x=1' WHEN page_id % 7 = 2 THEN '/unhealthy' WHEN page_id % 7 = 3 THEN '/ping/' WHEN page_id % 7 = 4 THEN '/statusx' ELSE '' END AS path
+  FROM pages_path
 ), f AS (SELECT *, regexp_matches(lower(path), '(^|/)(healthz?|healthcheck|ping|status|alive|live|ready)(/|$|\\?)') AS is_health FROM h)"""
 _METHOD = "['get','post','put','patch','delete','options','head'][page_id % 7 + 1]"
 _SLUG = rf"left('openapi_' || lower(regexp_replace(regexp_replace({_METHOD} || '_' || path, '[^a-zA-Z0-9]+', '_', 'g'), '^_|_$', '', 'g')), 80)"
@@ -97,9 +106,8 @@ SQL: dict[str, str] = {
     **{name: f"{SUPPLY}{_WALK if name == 'lint_sync_chain' else ''} SELECT {_COLUMNS} FROM ({part})" for name, part in _PARTS.items()},
     "lint_no_healthcheck": f"{_HEALTH} SELECT graph_id, 'IR-LINT-NO-HEALTHCHECK-003' AS code FROM f GROUP BY 1 HAVING NOT bool_or(is_health)",
     "health_url_flags": f"{_HEALTH} SELECT page_id, path, is_health FROM f",
-    "sync_chain_depth": f"""{_TALKS}, h AS (SELECT g, turn, EXISTS (SELECT 1 FROM e WHERE e.g = n.g AND dst = n.turn) AS entered FROM n WHERE role = 'user' AND g % 10 <> 0),
-w AS (SELECT g, turn, 0 AS k FROM h WHERE NOT entered OR g NOT IN (SELECT g FROM h WHERE NOT entered) UNION SELECT e.g, e.dst, k + 1 FROM w JOIN e ON e.g = w.g AND e.src = w.turn)
-SELECT g AS graph_id, max(k) AS max_depth FROM w GROUP BY 1""",
+    "sync_chain_depth": _DEPTHS,
+    "sync_chain_depth_in_rounds": _DEPTHS,
     "async_edges": """SELECT event_id, event_id % 11 = 0 OR event_id % 5 IN (1, 2) OR regexp_matches(CASE event_id % 6 WHEN 0 THEN 'upstream' WHEN 1 THEN 'kafka-link' ELSE lower(event_type) END, 'queue|topic|stream|kafka|sns|sqs|amqp|mqtt|nats') AS is_async FROM events""",
     "async_targets": f"{SUPPLY} SELECT e.graph_id, count(*) AS n, count(*) FILTER (WHERE b.queue) AS n_async FROM e LEFT JOIN n b ON b.graph_id = e.graph_id AND b.id = e.dst GROUP BY 1",
     "dup_node_id": f"""{_DAMAGED} SELECT 0 AS graph_id, ord AS item_ord, 'IR-STRUCT-DUP_NODE_ID' AS code, id AS node_id, NULL::INT AS edge_index, 'Duplicate node id "' || id || '"' AS message
@@ -115,7 +123,8 @@ SELECT graph_id, id AS node_id, 'IR-STRUCT-HTTP_PATH' AS code, 'HTTP endpoint no
   FROM n WHERE type IN ('http', 'rest', 'graphql') AND NOT starts_with(path, '/')
 UNION ALL SELECT graph_id, id, 'IR-STRUCT-HTTP_METHOD', 'HTTP endpoint node "' || id || '" has unsupported method "' || method || '"'
   FROM n WHERE type IN ('http', 'rest', 'graphql') AND upper(method) NOT IN ('GET','POST','PUT','PATCH','DELETE','HEAD','OPTIONS')""",
-    "cycle_graphs": "SELECT conv_id AS graph_id, string_agg('t' || turn, ' ' ORDER BY turn) AS path FROM conversations WHERE conv_id % 10 = 0 GROUP BY 1",
+    "cycle_graphs": _CYCLES,
+    "cycle_graphs_in_rounds": _CYCLES,
     "findings_sorted_counts": f"{SUPPLY}{_WALK} SELECT graph_id, 'warning' AS severity, code, count(*) AS n FROM ({_COUNTS} UNION ALL {_NO_HEALTH}) GROUP BY 1, 3",
     "policy_gate": f"""{SUPPLY}, f AS (SELECT graph_id FROM ({_PARTS["lint_high_fanout"]}) UNION ALL SELECT graph_id FROM ({_PARTS["lint_duplicate_edge"]}))
 SELECT g.graph_id, 0 AS n_errors, count(f.graph_id) AS n_warnings, count(f.graph_id) > 300 AS failed FROM (SELECT DISTINCT graph_id FROM n) g LEFT JOIN f ON f.graph_id = g.graph_id GROUP BY 1""",
@@ -139,4 +148,6 @@ SELECT 0 AS graph_id, event_type AS dst, arg_max(a, i) FILTER (WHERE a <> 0) AS
 SELECT page_id % 20 AS graph_id, page_id AS node_ord, 'n' || page_id AS id, path AS route, m AS method, m <> 'get' AS has_body,
 CASE m WHEN 'post' THEN CASE WHEN page_id % 3 = 0 THEN 202 ELSE 201 END WHEN 'delete' THEN 204 ELSE 200 END AS success FROM n WHERE t IN ('http', 'cloudFunction', 'httpRequest')""",
     "other_nodes": """SELECT * FROM (SELECT page_id % 20 AS graph_id, 'n' || page_id AS id, ['http','cloudFunction','httpRequest','HTTP','service','rest'][page_id % 6 + 1] AS raw_type FROM pages) WHERE NOT contains(lower(raw_type), 'http')""",
+    "predicates_in_sql": f"{SUPPLY} SELECT DISTINCT type, type IN ('http','https','rest','api','graphql') AS is_http_endpoint, http AS is_http_like, db AS is_db_like, auth AS is_auth_like, queue AS is_queue_like FROM n",
+    **document_oracles.SQL,
 }

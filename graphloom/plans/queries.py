@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import algorithms, drift, endpoints, findings, lint, openapi, rules, structural
 from ..session import configured
-from . import derived
+from . import derived, document_queries
 from .tables import Facts, edge_is_async
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,19 +45,14 @@ def health_url_flags(spark: SparkSession, folder: str) -> DataFrame:
     return derived.health_pages(spark, folder).select("page_id", "path", T.is_health_url(F.col("path")).alias("is_health"))
 
 
-def sync_chain_depth(spark: SparkSession, folder: str) -> DataFrame:
-    """Depths of the conversations that aren't bent back."""
-    tables = derived.talks(spark, folder)
-    facts = Facts(tables)
-    return algorithms.sync_depths(facts.classified, facts.edge_facts).where("graph_id % 10 <> 0")
-
+def _sync_depths(few: int) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        """Depths of all conversations that have an entry, bent back or not, those of a null conv_id as one."""
+        facts = Facts(derived.talks(spark, folder))
+        found = algorithms.sync_depths(facts.classified, facts.edge_facts, few=few)
+        return found.select(F.when(F.col("graph_id") != "", F.col("graph_id")).cast("long").alias("graph_id"), "max_depth")
 
-def sync_chain_depth_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Depths of all conversations that have an entry, bent back or not, a null conv_id's included. SQL can't replay the
-    ordered visit of a cycle, so this has no SQL; `sync_chain_depth` is the part of it that SQL can check."""
-    facts = Facts(derived.named_talks(spark, folder))
-    found = algorithms.sync_depths(facts.classified, facts.edge_facts)
-    return found.select(F.when(F.col("graph_id") != "", F.col("graph_id")).cast("long").alias("graph_id"), "max_depth")
+    return query
 
 
 def async_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,9 +79,12 @@ def http_path_method(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("graph_id", "node_id", "code", "message")
 
 
-def cycle_graphs(spark: SparkSession, folder: str) -> DataFrame:
-    found = algorithms.first_cycles(derived.talks(spark, folder).edges)
-    return found.select("graph_id", F.array_join("path", " ").alias("path"))
+def _cycles(few: int) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        found = algorithms.first_cycles(derived.talks(spark, folder).edges, few=few)
+        return found.select(F.when(F.col("graph_id") != "", F.col("graph_id")).cast("long").alias("graph_id"), F.array_join("path", " ").alias("path"))
+
+    return query
 
 
 def findings_sorted_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,15 +147,16 @@ _QUERIES: dict[str, Query] = {
     **{name: _lint(code) for name, code in LINT_QUERIES.items()},
     "lint_no_healthcheck": lint_no_healthcheck,
     "health_url_flags": health_url_flags,
-    "sync_chain_depth": sync_chain_depth,
-    "sync_chain_depth_all": sync_chain_depth_all,
+    "sync_chain_depth": _sync_depths(algorithms.FEW),
+    "sync_chain_depth_in_rounds": _sync_depths(0),
     "async_edges": async_edges,
     "async_targets": async_targets,
     "dup_node_id": _structural("node", "IR-STRUCT-DUP_NODE_ID"),
     "edge_unknown_endpoint": _structural("edge", "IR-STRUCT-EDGE_UNKNOWN_FROM", "IR-STRUCT-EDGE_UNKNOWN_TO"),
     "edge_ambiguous": _structural("edge", "IR-STRUCT-EDGE_AMBIGUOUS_FROM", "IR-STRUCT-EDGE_AMBIGUOUS_TO"),
     "http_path_method": http_path_method,
-    "cycle_graphs": cycle_graphs,
+    "cycle_graphs": _cycles(algorithms.FEW),
+    "cycle_graphs_in_rounds": _cycles(0),
     "findings_sorted_counts": findings_sorted_counts,
     "policy_gate": policy_gate,
     "drift_diff": drift_diff,
@@ -167,6 +166,7 @@ _QUERIES: dict[str, Query] = {
     "effective_edge_config": effective_edge_config,
     "endpoint_table": endpoint_table,
     "other_nodes": other_nodes,
+    **document_queries.QUERIES,
 }
 
 

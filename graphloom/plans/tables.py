@@ -47,82 +47,96 @@ def _object_or_none(value: Column) -> Column:
     return F.when(V.kind_of(value) == "object", value)
 
 
+def _once(rows: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """The kept columns and new ones, each computed once however often it is used: the optimizer doesn't copy what comes
+    out of a generator into all that refers to it, filters included."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def normalized(documents: DataFrame) -> GraphTables:
     """Tables of documents (graph_id, root VARIANT); a null root is a document that could not be parsed."""
-    whole = V.kind_of(F.col("root"))
-    inner, nodes = V.raw_member(F.col("root"), "graph"), V.raw_member(F.col("root"), "nodes")
-    wrapped = V.kind_of(inner).isin("object", "array")
-    graph = F.when(wrapped, inner).when(V.kind_of(nodes) == "array", F.col("root"))
-    rows = documents.select("graph_id", "root", F.when(whole == "object", graph).when(whole == "array", F.lit(None).cast("variant")).alias("graph"), whole.alias("whole"))
-    rows = rows.withColumn("raw_nodes", V.raw_member(F.col("graph"), "nodes")).withColumn("raw_edges", V.raw_member(F.col("graph"), "edges"))
-    listed, edge_kind = V.kind_of(F.col("raw_nodes")) == "array", V.kind_of(F.col("raw_edges"))
-    count = lambda v: F.coalesce(F.size(F.try_variant_get(v, "$", "array<variant>")), F.lit(0))
+    root = F.col("root")
+    rows = _once(documents, "graph_id", "root", whole=V.kind_of(root), inner=V.raw_member(root, "graph"), listed=V.kind_of(V.raw_member(root, "nodes")))
+    rows = _once(rows, "graph_id", "root", "whole", "inner", "listed", wrapped=V.kind_of(F.col("inner")).isin("object", "array"))
+    graph = F.when(F.col("wrapped"), F.col("inner")).when(F.col("listed") == "array", root)
+    rows = _once(rows, "graph_id", "whole", graph=F.when(F.col("whole") == "object", graph))
+    rows = _once(rows, "graph_id", "whole", "graph", raw_nodes=V.raw_member(F.col("graph"), "nodes"), raw_edges=V.raw_member(F.col("graph"), "edges"))
+    slots = lambda name: F.when(V.kind_of(F.col(name)) == "array", F.try_variant_get(name, "$", "array<variant>"))
+    rows = _once(rows, "graph_id", "whole", "graph", node_slots=slots("raw_nodes"), edge_slots=slots("raw_edges"), edge_kind=V.kind_of(F.col("raw_edges")))
     shape = (
         F.when(~F.col("whole").isin("object", "array"), "IR-STRUCT-INVALID_ROOT")
         .when(F.col("graph").isNull(), "IR-STRUCT-NO_GRAPH")
-        .when(~listed, "IR-STRUCT-NODES_NOT_ARRAY")
-        .when(count(F.col("raw_nodes")) == 0, "IR-STRUCT-EMPTY_GRAPH")
+        .when(F.col("node_slots").isNull(), "IR-STRUCT-NODES_NOT_ARRAY")
+        .when(F.size("node_slots") == 0, "IR-STRUCT-EMPTY_GRAPH")
     )
-    rows = rows.withColumn("shape_code", shape)
+    rows = _once(rows, "graph_id", "graph", "node_slots", "edge_slots", "edge_kind", shape_code=shape)
+    size = lambda name: F.when(F.col(name).isNotNull(), F.size(name)).otherwise(0)
     graphs = rows.select(
         "graph_id",
         "shape_code",
-        (F.col("shape_code").isNull() & ~edge_kind.isin("absent", "array")).alias("edges_malformed"),
-        F.when(listed, count(F.col("raw_nodes"))).otherwise(0).alias("n_raw_nodes"),
-        F.when(edge_kind == "array", count(F.col("raw_edges"))).otherwise(0).alias("n_raw_edges"),
+        (F.col("shape_code").isNull() & ~F.col("edge_kind").isin("absent", "array")).alias("edges_malformed"),
+        size("node_slots").alias("n_raw_nodes"),
+        size("edge_slots").alias("n_raw_edges"),
         V.raw_member(F.col("graph"), "metadata").alias("metadata"),
     )
     good = rows.where("shape_code is null")
-    slots = good.select("graph_id", F.posexplode(F.try_variant_get("raw_nodes", "$", "array<variant>")).alias("node_ord", "slot"))
-    edge_rows = good.where(edge_kind == "array").select("graph_id", F.posexplode(F.try_variant_get("raw_edges", "$", "array<variant>")).alias("edge_index", "slot"))
-    return GraphTables(graphs, _nodes(slots), _edges(edge_rows))
+    return GraphTables(graphs, _nodes(good.select("graph_id", F.posexplode("node_slots").alias("node_ord", "slot"))), _edges(good.select("graph_id", F.posexplode("edge_slots").alias("edge_index", "slot"))))
+
+
+def _text(name: str) -> Column:
+    return T.trimmed(F.coalesce(V.text_of(F.col(name)), F.lit("")))
 
 
 def _nodes(slots: DataFrame) -> DataFrame:
     slot, config = F.col("slot"), F.col("config")
-    text = lambda v: T.trimmed(F.coalesce(V.text_of(v), F.lit("")))
-    rows = slots.select(
+    rows = _once(slots, "graph_id", "node_ord", slot_kind=V.kind_of(slot), raw_id=V.member(slot, "id"), raw_type=V.member(slot, "type", "kind"), raw_name=V.member(slot, "name"), raw_config=V.raw_member(slot, "config"), raw_schema=V.raw_member(slot, "schema"))
+    rows = _once(
+        rows,
         "graph_id",
         "node_ord",
-        V.kind_of(slot).alias("slot_kind"),
-        text(V.member(slot, "id")).alias("id"),
-        F.lower(text(V.member(slot, "type", "kind"))).alias("type"),
-        text(V.member(slot, "name")).alias("name"),
-        V.script_type(V.raw_member(slot, "config")).alias("config_type"),
-        V.kind_of(V.raw_member(slot, "config")).alias("config_state"),
-        _object_or_none(V.raw_member(slot, "config")).alias("config"),
-        _object_or_none(V.raw_member(slot, "schema")).alias("schema"),
+        "slot_kind",
+        id=_text("raw_id"),
+        type=F.lower(_text("raw_type")),
+        name=_text("raw_name"),
+        config_type=V.script_type(F.col("raw_config")),
+        config_state=V.kind_of(F.col("raw_config")),
+        config=_object_or_none(F.col("raw_config")),
+        schema=_object_or_none(F.col("raw_schema")),
     )
+    rows = _once(rows, *rows.columns, raw_path=V.member(config, "url", "route"), raw_method=V.member(config, "method"), raw_health=V.member(config, "url"))
     return rows.select(
-        *rows.columns,
+        *(c for c in rows.columns if not c.startswith("raw_")),
         F.json_object_keys(F.to_json(config)).alias("config_keys"),
-        text(V.member(config, "url", "route")).alias("http_path"),
-        T.trimmed(F.coalesce(V.text_of(V.member(config, "method")), F.lit("post"))).alias("http_method"),
-        text(V.member(config, "url")).alias("health_url"),
+        _text("raw_path").alias("http_path"),
+        T.trimmed(F.coalesce(V.text_of(F.col("raw_method")), F.lit("post"))).alias("http_method"),
+        _text("raw_health").alias("health_url"),
     )
 
 
 def _edges(slots: DataFrame) -> DataFrame:
-    slot = F.col("slot")
-    text = lambda v: T.trimmed(F.coalesce(V.text_of(v), F.lit("")))
-    rows = slots.select(
+    slot, config, metadata = F.col("slot"), F.col("config"), F.col("metadata")
+    rows = _once(
+        slots,
         "graph_id",
         "edge_index",
-        V.kind_of(slot).alias("slot_kind"),
-        text(V.member(slot, "id")).alias("id"),
-        text(V.member(slot, "from", "source")).alias("src"),
-        text(V.member(slot, "to", "target")).alias("dst"),
-        _object_or_none(V.raw_member(slot, "config")).alias("config"),
-        _object_or_none(V.raw_member(slot, "metadata")).alias("metadata"),
-        text(V.member(slot, "kind")).alias("top_kind"),
+        slot_kind=V.kind_of(slot),
+        raw_id=V.member(slot, "id"),
+        raw_src=V.member(slot, "from", "source"),
+        raw_dst=V.member(slot, "to", "target"),
+        raw_kind=V.member(slot, "kind"),
+        raw_config=V.raw_member(slot, "config"),
+        raw_metadata=V.raw_member(slot, "metadata"),
     )
-    config, metadata = F.col("config"), F.col("metadata")
-    own_kind = V.text_of(V.member(metadata, "kind"))
+    rows = _once(rows, "graph_id", "edge_index", "slot_kind", id=_text("raw_id"), src=_text("raw_src"), dst=_text("raw_dst"), config=_object_or_none(F.col("raw_config")), metadata=_object_or_none(F.col("raw_metadata")), top_kind=_text("raw_kind"))
+    members = {f"raw_{side}_{name}": V.member(F.col(side), name) for side in ("metadata", "config") for name in ("kind", "protocol")}
+    rows = _once(rows, *rows.columns, **members, marked=V.is_true(V.raw_member(metadata, "async")) | V.is_true(V.raw_member(config, "async")))
+    rows = _once(rows, *(c for c in rows.columns if not c.startswith("raw_")), **{name[4:]: V.text_of(F.col(name)) for name in members})
+    own_kind = F.col("metadata_kind")
     promoted = (F.col("top_kind") != "") & (T.trimmed(F.coalesce(own_kind, F.lit(""))) == "")
-    kind = F.lower(F.coalesce(F.when(promoted, F.col("top_kind")).otherwise(own_kind), V.text_of(V.member(config, "kind")), F.lit("")))
-    protocol = F.lower(F.coalesce(V.text_of(V.member(metadata, "protocol")), V.text_of(V.member(config, "protocol")), F.lit("")))
-    marked = V.is_true(V.raw_member(metadata, "async")) | V.is_true(V.raw_member(config, "async"))
-    return rows.withColumn("is_async", edge_is_async(marked, protocol, kind))
+    kind = F.lower(F.coalesce(F.when(promoted, F.col("top_kind")).otherwise(own_kind), "config_kind", F.lit("")))
+    protocol = F.lower(F.coalesce("metadata_protocol", "config_protocol", F.lit("")))
+    rows = rows.withColumn("is_async", edge_is_async(F.col("marked"), protocol, kind))
+    return rows.drop("marked", *(name[4:] for name in members))
 
 
 def edge_is_async(marked: Column, protocol: Column, kind: Column) -> Column:
