@@ -78,6 +78,11 @@ _SAYS = {
 }
 _SAID = ", ".join(f"('{code}', '{fix}', '{hint}', '{impact}')" for code, (fix, hint, impact) in _SAYS.items())
 
+_SHAPES = """WITH w AS (SELECT page_id AS k, page_id % 11 = 10 AS scalar, page_id % 4 AS v, page_id % 3 AS h, page_id % 5 AS i FROM pages), l AS (
+  SELECT k, CASE WHEN scalar THEN ['Document is empty or not an object'] ELSE list_filter([CASE v WHEN 1 THEN 'Expected OpenAPI 3.x, got: 2' WHEN 3 THEN 'Missing openapi or swagger version field' END,
+    CASE WHEN h > 0 THEN 'Missing or invalid paths object' END, CASE WHEN i = 3 THEN 'Missing info object' END, CASE WHEN i IN (1, 2) THEN 'Missing info.title' END, CASE WHEN i = 2 THEN 'Missing info.version' END], lambda x: x IS NOT NULL) END AS e FROM w)
+"""
+
 SQL: dict[str, str] = {
     "json_graphs": f"""{_JSON} SELECT k AS graph_id, shape_code, shape_code IS NULL AND json_type(g->'edges') <> 'ARRAY' AS edges_malformed,
 CASE WHEN json_type(g->'nodes') = 'ARRAY' THEN json_array_length(g->'nodes') ELSE 0 END::INT AS n_raw_nodes, CASE WHEN json_type(g->'edges') = 'ARRAY' THEN json_array_length(g->'edges') ELSE 0 END::INT AS n_raw_edges FROM shaped""",
@@ -102,10 +107,9 @@ UNION ALL SELECT k::VARCHAR, 1, 'b', 'postgres', '' FROM p WHERE k % 7 > 1""",
 ), s AS (SELECT *, left('openapi_' || lower(regexp_replace(regexp_replace(method || '_' || url, '[^a-zA-Z0-9]+', '_', 'g'), '^_|_$', '', 'g')), 80) AS base FROM o),
 r AS (SELECT *, row_number() OVER (PARTITION BY k, base ORDER BY o) - 1 AS again FROM s)
 SELECT k AS doc_id, o AS node_ord, base || CASE WHEN again > 0 THEN '_' || again ELSE '' END AS id, name, url, method, operation_id FROM r""",
-    "openapi_shapes": """WITH w AS (SELECT page_id AS k, page_id % 11 = 10 AS scalar, page_id % 4 AS v, page_id % 3 AS h, page_id % 5 AS i FROM pages), l AS (
-  SELECT k, CASE WHEN scalar THEN ['Document is empty or not an object'] ELSE list_filter([CASE v WHEN 1 THEN 'Expected OpenAPI 3.x, got: 2' WHEN 3 THEN 'Missing openapi or swagger version field' END,
-    CASE WHEN h > 0 THEN 'Missing or invalid paths object' END, CASE WHEN i = 3 THEN 'Missing info object' END, CASE WHEN i IN (1, 2) THEN 'Missing info.title' END, CASE WHEN i = 2 THEN 'Missing info.version' END], lambda x: x IS NOT NULL) END AS e FROM w)
-SELECT k AS doc_id, len(e) = 0 AS ok, array_to_string(e, '; ') AS errors FROM l""",
+    "openapi_shapes": f"{_SHAPES}SELECT k AS doc_id, len(e) = 0 AS ok, array_to_string(e, '; ') AS errors FROM l",
+    "openapi_failures": f"""{_SHAPES}SELECT k AS doc_id, CASE WHEN len(e) > 0 THEN 'Invalid OpenAPI document shape: ' || array_to_string(e, '; ')
+ELSE 'No operations found under `paths` (supported methods: GET, POST, PUT, PATCH, DELETE, OPTIONS, HEAD).' END AS error FROM l""",
     "openapi_graphs": "SELECT page_id AS graph_id, NULL::VARCHAR AS shape_code, 4 AS n_raw_nodes, 'api-' || page_id AS service FROM pages",
     "drift_verdicts": r"""WITH d AS (SELECT *, doc_id % 20 AS g FROM documents),
 s AS (SELECT g, count(*) FILTER (WHERE doc_id % 11 = 0) AS missing, count(*) FILTER (WHERE doc_id % 11 <> 0 AND doc_id % 7 = 0) AS modified, count(*) FILTER (WHERE doc_id % 13 = 0) AS extra FROM d GROUP BY 1)
