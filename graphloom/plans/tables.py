@@ -166,6 +166,13 @@ class Facts:
             T.is_queue_like(kind).alias("is_queue_like"),
         )
 
+    def written(self) -> Facts:
+        """The same facts, with those that all others rest on written once."""
+        out = Facts(GraphTables(saved(self.tables.graphs, "graphs"), self.tables.nodes, self.tables.edges))
+        out.__dict__["classified"] = saved(self.classified, "classified")
+        out.__dict__["edge_facts"] = saved(out.edge_facts, "edge-facts")
+        return out
+
     def _known(self, side: str, *flags: str) -> DataFrame:
         return self.classified.select("graph_id", F.col("id").alias(side), F.lit(True).alias(f"{side}_known"), *(F.col(f).alias(f"{side}_{f}") for f in flags))
 
