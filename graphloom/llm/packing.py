@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .encoding import VOCABULARY, digest, encoder, vocabulary_of
 from .tables import bare
@@ -85,18 +84,20 @@ def packed(sizes: np.ndarray, row: int = ROW) -> list[list[tuple[int, int, int]]
     return rows
 
 
-_PACKED = "pack_sha256 string, n_tokens int, doc_ids array<long>, offsets array<int>, cu_seqlens array<int>, input_ids binary"
+_PACKED = "pack_sha256 string, n_tokens int, doc_ids array<long>, offsets array<int>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
 
 def _packer(row: int, group: int, vocabulary: bytes):
     def flush(docs: list, ids: list[np.ndarray], pad: int) -> pa.RecordBatch:
         rows = packed(np.array([len(x) for x in ids], np.int64), row)
-        matrix = np.full((len(rows), row), pad, "<i4")
+        matrix, places = np.full((len(rows), row), pad, "<i4"), np.zeros((len(rows), row), "<u2")
+        count = np.arange(row, dtype="<u2")
         filled, owners, offsets, ends = [], [], [], []
         for k, pieces in enumerate(rows):
             at = 0
             for d, a, n in pieces:
                 matrix[k, at : at + n] = ids[d][a : a + n]
+                places[k, at : at + n] = count[:n]
                 at += n
             filled.append(at)
             owners.append([docs[d] for d, _, _ in pieces])
@@ -109,8 +110,9 @@ def _packer(row: int, group: int, vocabulary: bytes):
             pa.array(offsets, pa.list_(pa.int32())),
             pa.array(ends, pa.list_(pa.int32())),
             pa.array([matrix[k].tobytes() for k in range(len(rows))], pa.binary()),
+            pa.array([places[k].tobytes() for k in range(len(rows))], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["pack_sha256", "n_tokens", "doc_ids", "offsets", "cu_seqlens", "input_ids"])
+        return pa.RecordBatch.from_arrays(columns, names=["pack_sha256", "n_tokens", "doc_ids", "offsets", "cu_seqlens", "input_ids", "position_ids"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
@@ -134,19 +136,16 @@ def _packer(row: int, group: int, vocabulary: bytes):
 
 
 def packs(docs: DataFrame, row: int = ROW, group: int = GROUP, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(pack_sha256, n_tokens, doc_ids, offsets, cu_seqlens, input_ids) for every packed row.
+    """(pack_sha256, n_tokens, doc_ids, offsets, cu_seqlens, input_ids, position_ids) for every packed row.
 
-    input_ids are little-endian 32-bit ids, `row` of them; what is past n_tokens is padding.
+    input_ids are little-endian 32-bit ids, `row` of them, position_ids as many little-endian 16-bit numbers that begin
+    at 0 anew in every segment; what is past n_tokens is padding, with positions of 0.
     """
+    if not 1 < row <= 1 << 16:
+        raise ValueError("a row has 2 to 65,536 tokens")
     return bare(docs, doc_id=id_col, text=text_col).mapInArrow(_packer(row, group, vocabulary_of(vocabulary)), _PACKED)
 
 
-def with_positions(rows: DataFrame) -> DataFrame:
-    """The rows with position_ids: counted from 0 anew in every segment."""
-    lengths = F.transform(F.slice("cu_seqlens", 2, F.size("cu_seqlens")), lambda e, i: e - F.element_at("cu_seqlens", (i + 1).cast("int")))
-    return rows.withColumn("position_ids", F.flatten(F.transform(lengths, lambda n: F.sequence(F.lit(0), n - 1))))
-
-
 def written(rows: DataFrame, path: str) -> None:
-    """The packed rows as Parquet: one binary row of the id matrix each, beside its segments."""
+    """The packed rows as Parquet: one binary row of the id matrix and of its positions each, beside its segments."""
     rows.write.mode("overwrite").parquet(path)

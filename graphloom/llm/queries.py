@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,10 @@ from .contamination import contamination
 from .exact_dedup import exact_duplicates
 from .mixing import mixed, words_taken
 from .near_dedup import near_duplicates
-from .packing import packs, with_positions
+from .packing import packs, written
 from .session import table
 from .sharding import filled, sharded
-from .tables import saved
+from .tables import shared_folder
 from .token_counts import summary, token_counts
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -70,17 +71,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per packed row of ids: its segments, their documents, and digests of its ids and of its position ids, which
     are taken from the written rows."""
-    rows = saved(with_positions(packs(table(spark, sf_dir, "documents"))), "packs")
-    filled = F.expr("substring(input_ids, 1, 4 * n_tokens)")
+    path = f"{shared_folder(spark)}/packs-{uuid.uuid4().hex}"
+    written(packs(table(spark, sf_dir, "documents")), path)
+    rows = spark.read.parquet(path)
+    ids, places = F.expr("substring(input_ids, 1, 4 * n_tokens)"), F.expr("substring(position_ids, 1, 2 * n_tokens)")
     return rows.select(
-        F.sha2(filled, 256).alias("pack_sha256"),
+        F.sha2(ids, 256).alias("pack_sha256"),
         "n_tokens",
         "doc_ids",
         "offsets",
         "cu_seqlens",
         (F.length("input_ids") / 4).cast("int").alias("n_ids"),
-        F.size(F.filter("position_ids", lambda p: p == 0)).alias("n_resets"),
-        F.sha2(F.array_join(F.col("position_ids").cast("array<string>"), ","), 256).alias("positions_sha256"),
+        F.sha2(places, 256).alias("positions_sha256"),
     )
 
 

@@ -443,17 +443,21 @@ def test_best_fit():
         assert len(rows) == opened + sum(n // 32 for n in sizes.tolist())
 
 
-def test_packs_are_lossless(docs, empty):
+def test_packs_are_lossless(spark, docs, empty, tmp_path):
     bpe = encoding.encoder(encoding.vocabulary_of())
-    got = packing.with_positions(packing.packs(docs, row=64, group=5000)).collect()
+    path = str(tmp_path / "packs")
+    packing.written(packing.packs(docs, row=64, group=5000), path)
+    got = spark.read.parquet(path).collect()
     back = collections.defaultdict(list)
     for r in got:
         ids = np.frombuffer(r["input_ids"], "<i4")
-        assert len(ids) == 64 and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"] == len(r["position_ids"])
+        assert len(ids) == 64 and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"]
+        positions = np.frombuffer(r["position_ids"], "<u2").tolist()
+        assert len(positions) == 64 and not any(positions[r["n_tokens"] :])
         assert (ids[r["n_tokens"] :] == bpe.end).all() and r["pack_sha256"] == encoding.digest(ids[: r["n_tokens"]])
         for d, a, s, e in zip(r["doc_ids"], r["offsets"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
             back[d].append((a, ids[s:e]))
-            assert r["position_ids"][s:e] == list(range(e - s))
+            assert positions[s:e] == list(range(e - s))
     plain = collections.Counter(r["doc_id"] for r in docs.collect())
     for r in docs.collect():
         if r["doc_id"] is not None and plain[r["doc_id"]] == 1:
