@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import sketches as S
 from . import tokens as K
 from .components import components
-from .tables import bare, saved, scratch
+from .tables import bare, joined_by, saved, scratch
 
 #: How far under the threshold an estimated similarity may lie if a pair's full sets are to be compared.
 MARGIN = 0.17
@@ -214,11 +214,12 @@ def _blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
     sums = parts.groupBy(group).agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("all")).where("all > top.k")
     dims = sums.select(
         group,
+        "all",
         F.col("top.part").alias("core"),
         F.ceil(F.col("top.k") / most).cast("int").alias("cores"),
         F.ceil((F.col("all") - F.col("top.k")) / most).cast("int").alias("rests"),
     )
-    dealt = rows.join(saved(dims, "dims"), group).withColumn("is_core", F.col("part") == F.col("core"))
+    dealt = joined_by(rows, saved(dims, "dims"), [group], "all").withColumn("is_core", F.col("part") == F.col("core"))
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("is_core"), F.col("cores")).otherwise(F.col("rests"))).cast("int")
     dealt = dealt.withColumn("mine", mine)
     # (x, y, side): rest block x against core block y (as -1 - y) or rest block y >= x
@@ -241,8 +242,9 @@ def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     source = bare(docs, doc_id=id_col, text=text_col)
     features = saved(source.mapInArrow(_features, _FEATURES), "features")
     full = features.where("n_shingles > 0 and doc_id is not null")
-    classes = saved(full.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("id")), "classes")
-    leaders = full.join(classes.select("id", "print_a", "print_b"), (F.col("doc_id") == F.col("id")) & (full["print_a"] == classes["print_a"]) & (full["print_b"] == classes["print_b"])).select("id", F.col("n_shingles").alias("n"), full["print_a"], full["print_b"], "sketch", "bands").dropDuplicates(["id", "print_a"])
+    prints = ["print_a", "print_b"]
+    classes = saved(full.groupBy(*prints).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
+    leaders = joined_by(full, classes, prints, "copies").where("doc_id = id").select("id", F.col("n_shingles").alias("n"), *prints, "sketch", "bands").dropDuplicates(["id", *prints])
     leaders = saved(leaders, "leaders")
     keyed = leaders.select("id", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("hub")).where("k > 1").select("key", "hub")
@@ -273,10 +275,10 @@ def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     links = _by_group(_blocks(inside.select("cluster", "id", "part"), "cluster", SETS).join(members, "id"), ("cluster", "x", "y"), _confirmed(percent))
     final = components(tied.unionByName(saved(links, "links")))
 
-    known = classes.join(final, "id", "left").select("print_a", "print_b", F.coalesce("component", "id").alias("component_id"))
-    out = features.select("doc_id", "n_shingles", "print_a", "print_b").join(known, ["print_a", "print_b"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    known = saved(classes.join(final, "id", "left").select(*prints, "copies", F.coalesce("component", "id").alias("component_id")), "known")
+    grouped = joined_by(full.select("doc_id", "n_shingles", *prints), known, prints, "copies").select("doc_id", "n_shingles", "component_id")
+    alone = features.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _likely(percent: int):
