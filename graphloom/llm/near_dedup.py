@@ -14,6 +14,8 @@ A document's set holds its distinct 5-word shingles. Two documents are linked wh
 4. Buckets that still hold several components are compared exhaustively by sketch, in blocks of bounded size, leaving
    out pairs within the bucket's largest component. A block gives a spanning forest, not its pairs; the forests connect
    clusters, and inside a cluster the full sets of all pairs from different components are intersected, again in blocks.
+5. Where a bucket or cluster is wide, as that of pages made from one template is, its documents are instead compared if
+   they share one of their rarest shingles, so few of them that linked sets can't do without. This is exact, too.
 
 A pair at a threshold of 85 % meets in no band with a probability of 7e-9 (at 80 %, of 3e-6), and its sketches fail (an
 estimate 0.17 under the threshold, five standard deviations below) with one of 6e-7. Nothing else is left to chance, and nothing is capped.
@@ -39,8 +41,9 @@ from .tables import bare, joined_by, saved, scratch
 
 #: How far under the threshold an estimated similarity may lie if a pair's full sets are to be compared.
 MARGIN = 0.17
-#: Documents in a block where sketches, or full sets, of all pairs are compared.
-SKETCHES, SETS = 1024, 512
+#: Documents in a block where sketches, or full sets, of all pairs are compared; documents beyond the largest part up to
+#: which all pairs of a bucket or cluster are.
+SKETCHES, SETS, WIDE = 1024, 512, 16384
 
 _FEATURES = "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch binary"
 
@@ -204,11 +207,12 @@ def _confirmed(percent: int):
     return of
 
 
-def _blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """The rows of each group, dealt to tasks of two blocks at most, so that every pair of rows of different parts meets.
+def _dealt(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """The rows (group, id, part) of groups with several parts, written, each with the block it is in.
 
     The group's largest part is its core. Pairs within it aren't wanted, so core blocks meet only blocks of the rest: a
-    group with one part makes no task, and one with a dominant part makes as many as the part has blocks.
+    group with one part makes no task, and one with a dominant part makes as many as the part has blocks. `wide` says
+    that the rest is too large to be compared pair by pair.
     """
     parts = rows.groupBy(group, "part").agg(F.count("*").alias("k"))
     sums = parts.groupBy(group).agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("all")).where("all > top.k")
@@ -218,18 +222,35 @@ def _blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
         F.col("top.part").alias("core"),
         F.ceil(F.col("top.k") / most).cast("int").alias("cores"),
         F.ceil((F.col("all") - F.col("top.k")) / most).cast("int").alias("rests"),
+        (F.col("all") - F.col("top.k") > WIDE).alias("wide"),
     )
     dealt = joined_by(rows, saved(dims, "dims"), [group], "all").withColumn("is_core", F.col("part") == F.col("core"))
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("is_core"), F.col("cores")).otherwise(F.col("rests"))).cast("int")
-    dealt = dealt.withColumn("mine", mine)
+    return saved(dealt.select(group, "id", "part", "cores", "rests", "wide", "is_core", mine.alias("mine")), "dealt")
+
+
+def _blocks(dealt: DataFrame, group: str) -> DataFrame:
+    """The rows dealt to tasks of two blocks at most, so that every pair of rows of different parts of a group meets."""
     # (x, y, side): rest block x against core block y (as -1 - y) or rest block y >= x
-    with_core = F.when(F.col("is_core"), F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct(x.alias("x"), (-1 - F.col("mine")).alias("y"), F.lit(1).alias("side")))).otherwise(
+    tasks = F.when(F.col("is_core"), F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.struct(x.alias("x"), (-1 - F.col("mine")).alias("y"), F.lit(1).alias("side")))).otherwise(
         F.concat(
             F.transform(F.sequence(F.lit(0), F.col("cores") - 1), lambda y: F.struct(F.col("mine").alias("x"), (-1 - y).alias("y"), F.lit(0).alias("side"))),
             F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda y: F.struct(F.least(F.col("mine"), y).alias("x"), F.greatest(F.col("mine"), y).alias("y"), F.when(F.col("mine") <= y, 0).otherwise(1).alias("side"))),
         )
     )
-    return dealt.withColumn("task", F.explode(with_core)).select(group, "task.x", "task.y", "task.side", *(c for c in rows.columns if c != group))
+    return dealt.withColumn("task", F.explode(tasks)).select(group, "task.x", "task.y", "task.side", "id", "part")
+
+
+def _by_prefix(wide: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links among the documents (id, part) of wide groups, without meeting all of them: shingles are ordered from the
+    rarest on, and two linked sets share one that is among the first of both, as many as either may lack and one more."""
+    sets = saved(wide.join(members, "id"), "sets")
+    counts = saved(sets.select(F.explode("members").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")), "counts")
+    listed = joined_by(sets.select("id", "part", F.explode("members").alias("shingle")), counts, ["shingle"], "n")
+    ordered = listed.groupBy("id", "part").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    first = F.slice("s", 1, F.size("s") - F.floor((percent * F.size("s") + 99) / 100).cast("int") + 1)
+    prefix = saved(ordered.select("id", "part", F.explode(first).alias("s")).where("s.n > 1").select(F.col("s.shingle").alias("shingle"), "id", "part"), "prefix")
+    return _by_group(_blocks(_dealt(prefix, "shingle", SETS), "shingle").join(members, "id"), ("shingle", "x", "y"), _confirmed(percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,11 +290,17 @@ def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
         return rows.join(first, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
 
     parted = saved(parts(buckets.select("key", "id")), "parted")
-    likely = _by_group(_blocks(parted, "key", SKETCHES).join(slim, "id"), ("key", "x", "y"), _alike(percent))
+    dealt = _dealt(parted, "key", SKETCHES)
+    likely = _by_group(_blocks(dealt.where("not wide"), "key").join(slim, "id"), ("key", "x", "y"), _alike(percent))
     clusters = components(likely).select(F.col("id").alias("part"), F.col("component").alias("cluster"))
     inside = saved(parts(leaders.select("id").distinct()).join(clusters, "part"), "inside")
-    links = _by_group(_blocks(inside.select("cluster", "id", "part"), "cluster", SETS).join(members, "id"), ("cluster", "x", "y"), _confirmed(percent))
-    final = components(tied.unionByName(saved(links, "links")))
+    within = _dealt(inside.select("cluster", "id", "part"), "cluster", SETS)
+    links = _by_group(_blocks(within.where("not wide"), "cluster").join(members, "id"), ("cluster", "x", "y"), _confirmed(percent))
+    every = tied.unionByName(saved(links, "links"))
+    wide = saved(dealt.where("wide").select("id", "part").unionByName(within.where("wide").select("id", "part")).distinct(), "wide")
+    if not wide.isEmpty():
+        every = every.unionByName(saved(_by_prefix(wide, members, percent), "more"))
+    final = components(every)
 
     known = saved(classes.join(final, "id", "left").select(*prints, "copies", F.coalesce("component", "id").alias("component_id")), "known")
     grouped = joined_by(full.select("doc_id", "n_shingles", *prints), known, prints, "copies").select("doc_id", "n_shingles", "component_id")

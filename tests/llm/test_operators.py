@@ -332,13 +332,17 @@ def brute_near(rows, percent):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("percent", [85, 80])
-def test_near_duplicates(docs, percent):
+@pytest.mark.parametrize(("percent", "wide"), [(85, 16384), (80, 16384), (85, 0), (80, 2)])
+def test_near_duplicates(docs, monkeypatch, percent, wide):
+    monkeypatch.setattr("graphloom.llm.near_dedup.WIDE", wide)
     assert rows_of(near_duplicates(docs, percent)) == brute_near(docs.collect(), percent)
 
 
-def test_chains_and_large_groups(spark):
-    """A chain in which only neighbours are alike, and many copies of one text with a few words changed."""
+@pytest.mark.parametrize("wide", [16384, 0])
+def test_chains_and_large_groups(spark, monkeypatch, wide):
+    """A chain in which only neighbours are alike, many copies of one text with a few words changed, and pages of one
+    template, of which few are alike."""
+    monkeypatch.setattr("graphloom.llm.near_dedup.WIDE", wide)
     r = random.Random(9)
     base = [f"b{k}" for k in range(100)]
     rows = []
@@ -351,6 +355,11 @@ def test_chains_and_large_groups(spark):
         for _ in range(r.choice([1, 1, 2, 3])):
             t[r.randrange(120)] = f"e{r.randrange(10**6)}"
         rows.append((2000 + k, " ".join(t)))
+    base = [f"f{k}" for k in range(150)]
+    for k in range(50):
+        own = [f"g{k // 2}-{j}" for j in range(25)]
+        own[k % 25] = f"h{k}"
+        rows.append((3000 + k, " ".join(base + own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert rows_of(near_duplicates(docs)) == brute_near(docs.collect(), 85)
 
