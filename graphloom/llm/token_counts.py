@@ -82,7 +82,7 @@ def _attributor(fields: Sequence[str], rule: str, lines: bool, vocabulary: bytes
                         at += len(piece)
                     edges = np.array(edges, np.int64)
                     tokens, crossing = allocated(edges, end - bpe.bytes_of[ids], end, rule)
-                    points = np.concatenate([[0], np.cumsum((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80)])[edges]
+                    points = np.concatenate([[0], np.cumsum((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80, dtype=np.int32)])[edges]
                     rows.append((len(ids), crossing, digest(ids), [{"field": f, "start": s, "end": e, "tokens": n} for f, s, e, n in zip(names, points[:-1].tolist(), points[1:].tolist(), tokens.tolist(), strict=True)]))
                 n, crossing, sha, sections = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crossing, pa.int64()), pa.array(sha, pa.string()), pa.array(sections, kind)], names=["doc_id", "n_tokens", "n_crossing", "ids_sha256", "sections"])

@@ -60,8 +60,7 @@ def bags(t: K.Texts) -> Bags:
     for k in BEGINNINGS:
         rows.append(K.mixed(K.sums(data, start, np.minimum(end, start + k)) + K.U64(k)))
     features = np.stack(rows) >> K.U64(46)
-    breaks = np.cumsum(_ENDS[data])
-    turn = breaks[start]
+    turn = np.searchsorted(np.flatnonzero(_ENDS[data]), start)
     new = np.concatenate([[True], (turn[1:] != turn[:-1]) | (doc[1:] != doc[:-1])])
     at = np.flatnonzero(new)
     return Bags(features.astype(np.int64), np.cumsum(new) - 1, doc[at], start[at], np.append(end[at[1:] - 1], end[-1]))
@@ -152,7 +151,7 @@ def _scorer(model: Model, offence: float):
             if b is not None:
                 bad = np.flatnonzero(by_sentence >= offence)
                 if len(bad):
-                    points = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])
+                    points = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80, dtype=np.int32)])
                     base = points[t.offsets[b.doc[bad]]]
                     for d, s, e, p in zip(b.doc[bad].tolist(), (points[b.start[bad]] - base).tolist(), (points[b.end[bad]] - base).tolist(), by_sentence[bad].tolist(), strict=True):
                         found[d].append({"start": s, "end": e, "score": p})
