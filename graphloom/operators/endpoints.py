@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import variants as V
 from ..functions.text import safe_id
 
 # The types, as written, of which endpoints are made.
@@ -34,6 +35,21 @@ def endpoints(nodes: DataFrame) -> DataFrame:
     )
 
 
+def merged_config(nodes: DataFrame) -> DataFrame:
+    """(graph_id, node_ord, id, raw_type, route, url, method, is_async) of the nodes of documents, as `endpoints` takes
+    them: what a node's data.config has counts before its config, even a null."""
+
+    def value(name: str) -> Column:
+        own, data = V.raw_member(F.col("config"), name), V.raw_member(F.col("data_config"), name)
+        return F.when(V.kind_of(data) != "absent", data).otherwise(own)
+
+    names = ("route", "url", "method", "async", "asyncProcessing", "accepted")
+    rows = nodes.select("graph_id", "node_ord", "id", F.col("typed").alias("raw_type"), F.inline(F.array(F.struct(*(value(n).alias(f"_{n}") for n in names)))))
+    text = lambda n: F.when(~V.text_of(F.col(n)).isin("", "0", "false"), V.text_of(F.col(n)))
+    later = V.is_true(F.col("_async")) | V.is_true(F.col("_asyncProcessing")) | V.is_true(F.col("_accepted"))
+    return rows.select("graph_id", "node_ord", "id", "raw_type", text("_route").alias("route"), text("_url").alias("url"), text("_method").alias("method"), later.alias("is_async"))
+
+
 def other_nodes(nodes: DataFrame) -> DataFrame:
     """The nodes whose type doesn't mention http, in any case."""
     return nodes.where(~F.lower(F.coalesce("raw_type", F.lit(""))).contains("http"))

@@ -98,6 +98,10 @@ SELECT k AS graph_id, (row_number() OVER (PARTITION BY k ORDER BY code))::INT AS
 '⚠️ ' || code || ': ' || message || chr(10) || '   Fix: ' || fix || chr(10) || '   Suggestion: ' || hint || chr(10) || '   Impact: ' || impact AS text FROM sound JOIN says USING (code)""",
     "rewrapped_documents": f"""WITH {_FAULTY} SELECT k AS graph_id, CASE WHEN k % 12 IN (0, 1) THEN 'IR-STRUCT-NO_GRAPH' WHEN k % 12 IN (2, 3, 4) THEN 'IR-STRUCT-NODES_NOT_ARRAY' WHEN k % 12 = 5 THEN 'IR-STRUCT-EMPTY_GRAPH' WHEN k % 12 = 6 THEN 'IR-STRUCT-INVALID_ROOT' END AS shape_code,
 CASE WHEN k % 12 < 7 THEN 0 ELSE 6 END AS n_raw_nodes FROM raw""",
+    "json_endpoints": f"""WITH {_PATHS}, m AS (SELECT *, ['post', 'delete', 'post', 'put', 'put'][k % 5 + 1] AS method FROM p)
+SELECT k AS graph_id, 'e' || k AS id, CASE WHEN k % 3 = 0 AND k % 5 <> 1 THEN '/r' || k ELSE path END AS route, method, true AS has_body,
+CASE WHEN method = 'delete' THEN 204 WHEN method = 'put' THEN 200 WHEN k % 5 = 0 THEN 202 ELSE 201 END AS success FROM m WHERE k % 4 < 2""",
+    "json_other_nodes": "SELECT page_id AS graph_id, 'e' || page_id AS id, CASE page_id % 4 WHEN 1 THEN 'cloudFunction' ELSE 'service' END AS raw_type FROM pages WHERE page_id % 2 = 1",
     "yaml_nodes": f"""WITH {_PATHS} SELECT k::VARCHAR AS graph_id, 0 AS node_ord, ['yes', '15', 'n1'][k % 3 + 1] AS id, 'http' AS type, path AS http_path FROM p WHERE k % 7 > 1
 UNION ALL SELECT k::VARCHAR, 1, 'b', 'postgres', '' FROM p WHERE k % 7 > 1""",
     "yaml_errors": "SELECT page_id::VARCHAR AS graph_id, page_id % 7 < 2 AS failed FROM pages",

@@ -64,6 +64,18 @@ def rewrapped_documents(spark: SparkSession, folder: str) -> DataFrame:
     return graphs_of_json(rewrapped(made_documents.faulty(spark, folder))).graphs.select("graph_id", "shape_code", "n_raw_nodes")
 
 
+def json_endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    """Endpoints of documents whose nodes are configured in two places."""
+    nodes = graphs_of_json(made_documents.configured(spark, folder)).nodes
+    return endpoints.endpoints(endpoints.merged_config(nodes)).select("graph_id", "id", "route", "method", "has_body", "success")
+
+
+def json_other_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Their nodes that aren't for HTTP, by the type as it is written."""
+    nodes = graphs_of_json(made_documents.configured(spark, folder)).nodes
+    return endpoints.other_nodes(endpoints.merged_config(nodes)).select("graph_id", "id", "raw_type")
+
+
 def yaml_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of YAML documents by way of JSON."""
     return graphs_of_json(json_of_yaml(made_documents.yaml_texts(spark, folder))).nodes.select("graph_id", "node_ord", "id", "type", "http_path")
@@ -149,6 +161,8 @@ QUERIES: dict[str, Query] = {
         policy_verdicts,
         findings_report,
         rewrapped_documents,
+        json_endpoints,
+        json_other_nodes,
         yaml_nodes,
         yaml_errors,
         openapi_collisions,

@@ -55,6 +55,15 @@ def services(spark: SparkSession, folder: str) -> DataFrame:
     return page_paths(spark, folder).select((k + 1_000_000_000).alias("graph_id"), raw.alias("raw"))
 
 
+def configured(spark: SparkSession, folder: str) -> DataFrame:
+    """(graph_id, raw): graphs of one node whose configuration is told in two places, of which one overrules."""
+    k = F.col("page_id")
+    own = _text('"config":{"route":', _by(k % 3, _text('"/r', k, '"'), '""', "null"), ',"url":"', F.col("path"), '","method":"PUT"}')
+    data = _by(k % 5, ',"data":{"config":{"method":"POST","accepted":true}}', ',"data":{"config":{"method":"delete","route":null}}', ',"data":{"config":{"method":"","async":"true"}}', ',"data":{"config":[1]}', ',"data":null')
+    raw = _text('{"nodes":[{"id":"e', k, '","type":"', _by(k % 4, "http", "cloudFunction", "HTTP", "service"), '",', own, data, "}]}")
+    return page_paths(spark, folder).select(k.alias("graph_id"), raw.alias("raw"))
+
+
 def yaml_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(graph_id, raw): YAML documents, two in seven without a graph."""
     k = F.col("page_id")
