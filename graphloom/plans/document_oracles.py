@@ -104,6 +104,34 @@ CASE WHEN method = 'delete' THEN 204 WHEN method = 'put' THEN 200 WHEN k % 5 = 0
     "json_other_nodes": "SELECT page_id AS graph_id, 'e' || page_id AS id, CASE page_id % 4 WHEN 1 THEN 'cloudFunction' ELSE 'service' END AS raw_type FROM pages WHERE page_id % 2 = 1",
     "yaml_nodes": f"""WITH {_PATHS} SELECT k::VARCHAR AS graph_id, 0 AS node_ord, ['yes', '15', 'n1'][k % 3 + 1] AS id, 'http' AS type, path AS http_path FROM p WHERE k % 7 > 1
 UNION ALL SELECT k::VARCHAR, 1, 'b', 'postgres', '' FROM p WHERE k % 7 > 1""",
+    "yaml_canonical": f"""WITH {_PATHS} SELECT k::VARCHAR AS graph_id, CASE WHEN k % 7 > 1 THEN replace('{{
+  "graph": {{
+    "metadata": {{
+      "name": "p' || k || '"
+    }},
+    "nodes": [
+      {{
+        "id": ' || ['"yes"', '15', '"n1"'][k % 3 + 1] || ',
+        "type": "HTTP",
+        "config": {{
+          "url": "' || path || '",
+          "on": true
+        }}
+      }},
+      {{
+        "id": "b",
+        "kind": "postgres"
+      }}
+    ],
+    "edges": [
+      {{
+        "from": "b",
+        "to": "b"
+      }}
+    ]
+  }}
+}}
+', chr(13), '') END AS text FROM p""",
     "yaml_errors": "SELECT page_id::VARCHAR AS graph_id, page_id % 7 < 2 AS failed FROM pages",
     "openapi_collisions": rf"""WITH {_PATHS}, o AS (
   SELECT k, 0 AS o, 'Get' AS name, path AS url, 'GET' AS method, NULL AS operation_id FROM p UNION ALL SELECT k, 1, 'POST ' || path, path, 'POST', NULL FROM p

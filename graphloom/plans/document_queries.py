@@ -12,6 +12,7 @@ from ..functions import sql
 from ..functions import text as T
 from ..operators import drift, endpoints, findings, openapi
 from ..sources.documents import graphs_of_json, json_of_yaml
+from ..sources.sinks import canonical_texts
 from . import derived, made_documents
 from .tables import GraphTables
 from .validation import Validation, validated
@@ -86,6 +87,11 @@ def yaml_errors(spark: SparkSession, folder: str) -> DataFrame:
     return json_of_yaml(made_documents.yaml_texts(spark, folder)).select("graph_id", F.col("raw").isNull().alias("failed"))
 
 
+def yaml_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    """The canonical text of YAML documents."""
+    return canonical_texts(json_of_yaml(made_documents.yaml_texts(spark, folder)))
+
+
 def openapi_collisions(spark: SparkSession, folder: str) -> DataFrame:
     """Operations of descriptions in which several get the same id."""
     docs = openapi.described(made_documents.many_operations(spark, folder))
@@ -165,6 +171,7 @@ QUERIES: dict[str, Query] = {
         json_other_nodes,
         yaml_nodes,
         yaml_errors,
+        yaml_canonical,
         openapi_collisions,
         openapi_shapes,
         openapi_graphs,

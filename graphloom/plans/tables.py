@@ -1,7 +1,7 @@
 """The tables of a corpus of graphs, and the facts that rules are evaluated over.
 
 `graphs`: graph_id, shape_code (why there is nothing to look into, or null), edges_malformed, n_raw_nodes, n_raw_edges.
-`nodes`: graph_id, node_ord, slot_kind, id, type, typed (as written), name, config_state, config_keys, http_path,
+`nodes`: graph_id, node_ord, slot_kind, id, type, typed (`type` as written), name, config_state, config_keys, http_path,
 http_method, health_url, and the open objects config, schema and data_config.
 `edges`: graph_id, edge_index, slot_kind, src, dst, is_async (by the edge itself, not by what it leads to).
 
@@ -90,7 +90,7 @@ def _text(name: str) -> Column:
 
 def _nodes(slots: DataFrame) -> DataFrame:
     slot, config = F.col("slot"), F.col("config")
-    rows = _once(slots, "graph_id", "node_ord", slot_kind=V.kind_of(slot), raw_id=V.member(slot, "id"), raw_type=V.member(slot, "type", "kind"), raw_name=V.member(slot, "name"), raw_config=V.raw_member(slot, "config"), raw_schema=V.raw_member(slot, "schema"), raw_data=V.raw_member(V.raw_member(slot, "data"), "config"))
+    rows = _once(slots, "graph_id", "node_ord", slot_kind=V.kind_of(slot), raw_id=V.member(slot, "id"), raw_type=V.member(slot, "type", "kind"), raw_typed=V.member(slot, "type"), raw_name=V.member(slot, "name"), raw_config=V.raw_member(slot, "config"), raw_schema=V.raw_member(slot, "schema"), raw_data=V.raw_member(V.raw_member(slot, "data"), "config"))
     rows = _once(
         rows,
         "graph_id",
@@ -98,7 +98,7 @@ def _nodes(slots: DataFrame) -> DataFrame:
         "slot_kind",
         id=_text("raw_id"),
         type=F.lower(_text("raw_type")),
-        typed=V.text_of(F.col("raw_type")),
+        typed=V.text_of(F.col("raw_typed")),
         name=_text("raw_name"),
         config_type=V.script_type(F.col("raw_config")),
         config_state=V.kind_of(F.col("raw_config")),

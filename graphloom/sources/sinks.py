@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Documents of a batch that Python converts.
+BATCH = 256
+
 
 def canonical_json(document: Mapping[str, Any]) -> str:
     """Two spaces, keys as they are, a line break at the end."""
@@ -41,8 +45,29 @@ def write_tree(root: str, files: Mapping[str, str] | Iterable[tuple[str, str]])
 
 
 def write_trees(root: str, files: DataFrame) -> None:
-    """Writes (graph_id, path, content) below a folder for each graph, on the driver, row by row."""
-    write_tree(root, ((f"{r['graph_id']}/{r['path']}", r["content"]) for r in files.toLocalIterator()))
+    """Writes (graph_id, path, content) below a folder for each graph. Every task writes its rows: on a cluster the folder
+    must be one that all machines have mounted."""
+    files.select("graph_id", "path", "content").foreachPartition(lambda rows: write_tree(root, ((f"{r['graph_id']}/{r['path']}", r["content"]) for r in rows)))
+
+
+def canonical_texts(documents: DataFrame) -> DataFrame:
+    """(graph_id, text): the canonical text of (graph_id, raw) JSON documents; null where there is none or it can't be
+    parsed."""
+
+    def one(raw: str | None) -> str | None:
+        try:
+            return canonical_json(json.loads(raw or ""))
+        except ValueError:
+            return None
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH):
+                part = batch.slice(a, BATCH)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(one, part.column(1).to_pylist()), pa.string())], names=["graph_id", "text"])
+
+    kind = documents.schema["graph_id"].dataType.simpleString()
+    return documents.select("graph_id", "raw").mapInArrow(of, f"graph_id {kind}, text string")
 
 
 def write_files(files: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ import pytest
 
 from graphloom.operators import drift, endpoints, openapi
 from graphloom.sources import documents as D
-from graphloom.sources.sinks import canonical_json, serialized, write_tree
+from graphloom.sources.sinks import canonical_json, canonical_texts, serialized, write_tree, write_trees
 
 YAML = "graph:\n  metadata: {name: x}\n  nodes:\n    - id: yes\n      type: http\n      since: 2024-01-01\n      config: {url: /signup, on: true, port: 0o17}\n"
 
@@ -126,3 +126,14 @@ def test_trees(tmp_path):
     with pytest.raises(ValueError):
         write_tree(str(tmp_path), {"../out": ""})
     assert canonical_json({"a": "é"}) == '{\n  "a": "é"\n}\n'
+
+
+def test_trees_of_a_corpus(spark, tmp_path):
+    files = spark.createDataFrame([(f"g{k}", f"a/{j}.txt", f"{k}\r\n{j}") for k in range(5) for j in range(3)], "graph_id string, path string, content string")
+    write_trees(str(tmp_path), files.repartition(4))
+    assert D.directory_map(str(tmp_path)) == {f"g{k}/a/{j}.txt": f"{k}\r\n{j}" for k in range(5) for j in range(3)}
+
+
+def test_canonical_texts(spark):
+    rows = spark.createDataFrame([(1, '{"b":[],"a":"é"}'), (2, "{"), (3, None)], "graph_id long, raw string")
+    assert {r["graph_id"]: r["text"] for r in canonical_texts(rows).collect()} == {1: '{\n  "b": [],\n  "a": "é"\n}\n', 2: None, 3: None}
