@@ -43,7 +43,7 @@ from .tables import bare, joined_by, saved, scratch
 MARGIN = 0.17
 #: Documents in a block where sketches, or full sets, of all pairs are compared; documents beyond the largest part up to
 #: which all pairs of a bucket or cluster are.
-SKETCHES, SETS, WIDE = 1024, 512, 16384
+SKETCHES, SETS, WIDE = 1024, 256, 4096
 
 _FEATURES = "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch binary"
 

@@ -332,13 +332,13 @@ def brute_near(rows, percent):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("percent", "wide"), [(85, 16384), (80, 16384), (85, 0), (80, 2)])
+@pytest.mark.parametrize(("percent", "wide"), [(85, 4096), (80, 4096), (85, 0), (80, 2)])
 def test_near_duplicates(docs, monkeypatch, percent, wide):
     monkeypatch.setattr("graphloom.llm.near_dedup.WIDE", wide)
     assert rows_of(near_duplicates(docs, percent)) == brute_near(docs.collect(), percent)
 
 
-@pytest.mark.parametrize("wide", [16384, 0])
+@pytest.mark.parametrize("wide", [4096, 0])
 def test_chains_and_large_groups(spark, monkeypatch, wide):
     """A chain in which only neighbours are alike, many copies of one text with a few words changed, and pages of one
     template, of which few are alike."""
