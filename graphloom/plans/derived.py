@@ -73,11 +73,20 @@ def supply(spark: SparkSession, folder: str) -> GraphTables:
     rows = rows.unionByName(edge(lines, 2, ("o", "l_orderkey"), ("p", "l_partkey"), *line_keys))
     rows = rows.unionByName(edge(lines, 3, ("p", "l_partkey"), ("s", "l_suppkey"), *line_keys))
     rows = rows.unionByName(edge(buyer, 4, ("c", "custkey"), ("p", "custkey"), "custkey"))
-    order = Window.partitionBy("graph_id").orderBy("k", "k0", "k1", "k2", "k3")
-    edges = rows.withColumn("edge_index", F.row_number().over(order) - 1).select("graph_id", "edge_index", "src", "dst")
+    edges = _numbered(rows, F.col("k") * (1 << 40) + F.shiftright("k0", 14), ("k", "k0", "k1", "k2", "k3")).select("graph_id", "edge_index", "src", "dst")
     return as_tables(as_nodes(nodes), as_edges(edges))
 
 
+def _numbered(rows: DataFrame, part: Column, order: tuple[str, ...]) -> DataFrame:
+    """rows with edge_index, their places in their graph in the given order; `part` grows along that order. Each part is
+    sorted by itself, and begins with the number of rows in those before it."""
+    rows = rows.withColumn("_part", part)
+    parts = rows.groupBy("graph_id", "_part").agg(F.count("*").alias("_n"))
+    parts = parts.select("graph_id", "_part", (F.sum("_n").over(Window.partitionBy("graph_id").orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("graph_id", "_part").orderBy(*order))
+    return rows.withColumn("_place", place).join(parts, ["graph_id", "_part"]).withColumn("edge_index", (F.col("_before") + F.col("_place") - 1).cast("int"))
+
+
 def talks(spark: SparkSession, folder: str) -> GraphTables:
     """One graph for each conversation: a chain of its turns, every tenth bent back to its beginning. Graphs go by conv_id
     as text, '' where it is null: those turns are a conversation too. Rows of one turn, which only a null conv_id should
