@@ -15,7 +15,7 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
     """
     seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else edges
     least = saved(seen.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k")), "least")
-    moved = joined_by(seen, least, ["u"], "k")
+    moved = joined_by(seen, least, ["u"], "k", F.xxhash64("v"))
     if both:
         moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -38,7 +38,9 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", fold_case: bool =
     slim = saved(groups.select("hash", second.alias("second"), F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"), "groups")
     keyed = rows.withColumn("hash", hash_128).withColumn("second", second)
     if slim.groupBy("hash", "second").count().where("count > 1").isEmpty():
-        found = joined_by(keyed.drop("text"), slim, ["hash", "second"], "group_size")
+        # null ids, which no hash tells apart, by their places
+        spread = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.monotonically_increasing_id())
+        found = joined_by(keyed.drop("text"), slim, ["hash", "second"], "group_size", spread)
     else:
         found = keyed.join(groups.withColumn("text_sha256", F.sha2("text", 256)), ["hash", "text"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
