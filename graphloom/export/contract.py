@@ -6,7 +6,7 @@ import json
 import re
 from typing import Any
 
-from .model import Endpoint, Project
+from .model import Endpoint, Project, schema_kind
 
 # What integers and unknown types are described as.
 _TYPES = {"integer": "number", "number": "number", "boolean": "boolean", "array": "array", "object": "object"}
@@ -15,14 +15,15 @@ _TYPES = {"integer": "number", "number": "number", "boolean": "boolean", "array"
 def schema_of(value: dict[str, Any]) -> dict[str, Any]:
     """A schema reduced to what the description shows, all the way down."""
     properties = value.get("properties")
-    kind = value.get("type") or ("object" if isinstance(properties, dict) else "string")
-    out: dict[str, Any] = {"type": _TYPES.get(kind, "string")}
+    out: dict[str, Any] = {"type": _TYPES.get(schema_kind(value), "string")}
     if isinstance(properties, dict):
         out["properties"] = {str(k): schema_of(v if isinstance(v, dict) else {}) for k, v in properties.items()}
     if isinstance(value.get("items"), dict):
         out["items"] = schema_of(value["items"])
     if isinstance(value.get("required"), list) and value["required"]:
         out["required"] = [str(r) for r in value["required"]]
+    if isinstance(value.get("format"), str):
+        out["format"] = value["format"]
     return out
 
 

@@ -123,11 +123,21 @@ def edge_settings(edges: list[Any], node: str) -> dict[str, Any]:
     return found
 
 
+def schema_kind(value: dict[str, Any]) -> str:
+    """A schema's type, told or by what it has."""
+    kind = value.get("type") or value.get("dataType")
+    return str(kind) if kind else "object" if isinstance(value.get("properties"), dict) else "array" if "items" in value else "string"
+
+
 def _schema(value: Any) -> dict[str, Any]:
-    """A schema as an object with properties; a list of fields becomes one."""
+    """A schema as an object with properties; a list of fields becomes one, and so does a map of fields."""
     if isinstance(value, list):
         value = {"type": "object", "properties": {str(f.get("name")): {"type": f.get("type", "string")} for f in value if isinstance(f, dict) and f.get("name")}}
-    return value if isinstance(value, dict) else {}
+    if not isinstance(value, dict):
+        return {}
+    if value and not any(k in value for k in ("type", "dataType", "properties", "items", "required", "$ref")):
+        value = {"type": "object", "properties": {str(k): v if isinstance(v, dict) else {"type": str(v)} for k, v in value.items()}}
+    return value
 
 
 def endpoint(node: dict[str, Any], edges: list[Any], merge_data: bool) -> Endpoint:
@@ -141,7 +151,7 @@ def endpoint(node: dict[str, Any], edges: list[Any], merge_data: bool) -> Endpoi
     route = str(asked.get("route") or asked.get("url") or f"/{id_}")
     return Endpoint(
         id=str(node.get("id") or ""),
-        handler=f"handle_{identifier(config.get('name') or node.get('name') or id_)}_{identifier(id_)}",
+        handler=identifier(own["name"]) if own.get("name") else f"handler_{identifier(id_, 'node')}",
         model=re.sub(r"[^A-Za-z0-9]", "", id_) or "Request",
         route=route if route.startswith("/") else f"/{route}",
         method=method,
@@ -165,5 +175,10 @@ def project(document: Any, name: str | None = None, merge_data: bool = True, fal
     nodes = [n for n in graph.get("nodes") or [] if isinstance(n, dict)]
     edges = graph.get("edges") if isinstance(graph.get("edges"), list) else []
     made = [endpoint(n, edges, merge_data) for n in nodes if n.get("type") in ENDPOINT_TYPES]
+    taken: set[str] = set()
+    for e in made:
+        # names that two endpoints would share get a number
+        e.handler = next(name for name in (e.handler, *(f"{e.handler}_{k}" for k in range(2, len(made) + 2))) if name not in taken)
+        taken.add(e.handler)
     others = [n for n in nodes if "http" not in str(n.get("type") or "").lower()]
     return Project(str(name or _record(outer.get("metadata")).get("name") or fallback), made, others)

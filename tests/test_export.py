@@ -12,7 +12,7 @@ import pytest
 
 from graphloom.cli import main
 from graphloom.export import edge_code, fastapi
-from graphloom.export.bundle import host_port
+from graphloom.export.bundle import completed, host_port
 from graphloom.export.model import edge_settings
 from graphloom.export.pipeline import drifted, exported, one_document, project_files
 from graphloom.sources.documents import parsed_description
@@ -199,3 +199,19 @@ def test_malformed_documents_have_no_files(spark):
     assert {r["graph_id"] for r in made.files.select("graph_id").distinct().collect()} == {"good", "foo"}
     made = exported(docs.where("graph_id = 'foo'"), "node")
     assert [r["code"] for r in made.structural.collect()] == ["IR-STRUCT-NODES_NOT_ARRAY"]
+
+
+def test_names_and_fields():
+    nodes = [{"id": "a-1", "type": "http", "config": {"url": "/a", "fields": {"n": "integer", "o": {"properties": {}}, "l": {"items": {}}}}}, {"id": "b", "type": "http", "config": {"url": "/b", "name": "do it"}}, {"id": "a_1", "type": "http", "config": {"url": "/c", "fields": [{"name": "x", "type": "boolean"}, 5]}}]
+    text = project_files({"graph": {"nodes": nodes}}, "python")["app/main.py"]
+    ast.parse(text)
+    for line in ("def handler_a_1(", "def do_it(", "def handler_a_1_2(", "    n: float | None", "    o: dict | None", "    l: list | None", "    x: bool | None"):
+        assert line in text
+
+
+def test_bundle_of_other_files():
+    files = completed({"app/main.py": "uvicorn.run(app, port = 8000)", "README.md": " "}, "python", 9000)
+    assert files["app/main.py"] == "uvicorn.run(app, port = 8080)" and files["README.md"].startswith("# Generated service") and "localhost:9000" in files["README.md"]
+    assert completed(files, "python", 9000)["README.md"] == files["README.md"]
+    files = completed({"app/index.js": "app.listen(process.env.PORT || 3000)", "package.json": '{"scripts": {"dev": "x", "lint": "y"}}'}, "node")
+    assert "|| 8080" in files["app/index.js"] and json.loads(files["package.json"])["scripts"] == {"start": "node app/index.js", "dev": "node --watch app/index.js", "lint": "y"}
