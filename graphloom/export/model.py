@@ -178,7 +178,9 @@ def project(document: Any, name: str | None = None, merge_data: bool = True, fal
     taken: set[str] = set()
     for e in made:
         # names that two endpoints would share get a number
-        e.handler = next(name for name in (e.handler, *(f"{e.handler}_{k}" for k in range(2, len(made) + 2))) if name not in taken)
-        taken.add(e.handler)
+        for part, join in (("handler", "_"), ("model", "")):
+            own = getattr(e, part)
+            setattr(e, part, next(name for name in (own, *(f"{own}{join}{k}" for k in range(2, 2 * len(made) + 2))) if name not in taken))
+            taken.add(getattr(e, part))
     others = [n for n in nodes if "http" not in str(n.get("type") or "").lower()]
     return Project(str(name or _record(outer.get("metadata")).get("name") or fallback), made, others)
