@@ -59,7 +59,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with scratch(spark):
         times = mixed(docs, whole=True, row_col="_row").draws.groupBy(F.col("row").alias("_row")).agg(F.count("*").cast("int").alias("_times"))
         times = saved(times, "times", keep=True)
-    return docs.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
+    # there are about as many draws as rows: at any size both are dealt by row, none is sent everywhere
+    return docs.join(times.hint("merge"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 
 def shard_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
