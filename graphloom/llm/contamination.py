@@ -37,7 +37,8 @@ LENGTH = 10
 #: The most windows that are searched at once, 80 bytes each, and the most occurrences of rarest terms, some 50 bytes each.
 WINDOWS, OCCURRENCES = 500_000, 1 << 20
 
-_SEGMENT = "rows array<long>, doc_ids array<long>, n_words array<int>, terms array<long>, counts array<int>, gaps array<int>"
+# postings are bytes: as arrays they would go through the executors' memory number by number, several times their size
+_SEGMENT = "rows array<long>, doc_ids array<long>, n_words array<int>, terms binary, counts binary, gaps binary"
 _FOUND = "row long, hits array<long>, windows array<long>"
 
 
@@ -49,9 +50,19 @@ def _listed(values: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values, pa.int64()))
 
 
+def _packed(values: np.ndarray) -> pa.Array:
+    """One row of bytes, all values' first bytes before all second ones, which compresses well."""
+    return pa.array([values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()], pa.binary())
+
+
+def _unpacked(column: pa.Array, i: int, kind: type) -> np.ndarray:
+    planes = np.frombuffer(column[i].as_buffer(), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, t in K.chunks(batches, "text"):
-        n_words, terms, counts, gaps = np.zeros(batch.num_rows, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n_words, terms, counts, gaps = np.zeros(batch.num_rows, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(t.data):
             w = K.words(t, K.LETTERED)
             n_words = w.per_doc
@@ -62,9 +73,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
                 gaps = np.diff(at, prepend=0)
                 gaps[first] = at[first]
-                terms, counts = term[first].view(np.int64), np.diff(np.append(first, len(term)))
+                terms, counts = term[first], np.diff(np.append(first, len(term)))
         yield pa.RecordBatch.from_arrays(
-            [_one(batch.column("row")), _one(batch.column("doc_id").cast(pa.int64())), *(_one(pa.array(x, kind)) for x, kind in ((n_words, pa.int32()), (terms, pa.int64()), (counts, pa.int32()), (gaps, pa.int32())))],
+            [_one(batch.column("row")), _one(batch.column("doc_id").cast(pa.int64())), _one(pa.array(n_words, pa.int32())), *map(_packed, (terms, counts.astype(np.int32), gaps.astype(np.int32)))],
             names=["rows", "doc_ids", "n_words", "terms", "counts", "gaps"],
         )
 
@@ -75,7 +86,8 @@ def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     source = bare(docs, doc_id=id_col, text=text_col, **({"row": row_col} if row_col else {}))
     if row_col is None:
         source = source.withColumn("row", F.monotonically_increasing_id())
-    return saved(source.mapInArrow(_segments, _SEGMENT), "postings")
+    # a page of the file ends with the row that fills it, however large rows are
+    return saved(source.mapInArrow(_segments, _SEGMENT), "postings", **{"parquet.page.size.row.check.min": "1"})
 
 
 class Windows(NamedTuple):
@@ -135,12 +147,13 @@ def _opened(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, gap: int)
     """The segments that have a term of the vocabulary, with these terms' postings."""
     for batch in batches:
         for i in range(batch.num_rows):
-            terms = batch.column("terms")[i].values.to_numpy().view(np.uint64)
+            terms = _unpacked(batch.column("terms"), i, np.uint64)
             place = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
             ours = vocabulary[place] == terms
             if not ours.any():
                 continue
-            counts, gaps, n_words = (batch.column(c)[i].values.to_numpy().astype(np.int64) for c in ("counts", "gaps", "n_words"))
+            counts, gaps = (_unpacked(batch.column(c), i, np.int32).astype(np.int64) for c in ("counts", "gaps"))
+            n_words = batch.column("n_words")[i].values.to_numpy().astype(np.int64)
             at, first = np.cumsum(gaps), np.cumsum(counts) - counts
             at = (at - np.repeat(at[first] - gaps[first], counts))[np.repeat(ours, counts)]
             place, counts = place[ours], counts[ours]
@@ -230,10 +243,11 @@ def _totals(vocabulary: np.ndarray):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            terms, counts = (batch.column(c).flatten().to_numpy() for c in ("terms", "counts"))
-            place = np.minimum(np.searchsorted(vocabulary, terms.view(np.uint64)), len(vocabulary) - 1)
-            ours = vocabulary[place] == terms.view(np.uint64)
-            total += np.bincount(place[ours], weights=counts[ours], minlength=len(vocabulary)).astype(np.int64)
+            for i in range(batch.num_rows):
+                terms, counts = _unpacked(batch.column("terms"), i, np.uint64), _unpacked(batch.column("counts"), i, np.int32)
+                place = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+                ours = vocabulary[place] == terms
+                total[place[ours]] += counts[ours]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["term", "n"])
 

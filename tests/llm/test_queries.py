@@ -198,3 +198,16 @@ def test_slots_are_those_of_each_text():
         wanted = [(d, x[k : k + n]) for d, x in enumerate(texts) for k in range(len(x) - n + 1)]
         assert got[1].tolist() == [d for d, _ in wanted]
         assert len(set(got[0].tolist())) == len({g for _, g in wanted})
+
+
+def test_postings_are_bytes(spark):
+    """As arrays they take several times their size of an executor's memory."""
+    rows = [(k, " ".join(f"w{(k * 7 + i * i) % 90001}" for i in range(K.CHUNK // 7))) for k in range(3)]
+    index = C.indexed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert [dict(index.dtypes)[c] for c in ("terms", "counts", "gaps")] == ["binary"] * 3
+    got = index.select(F.explode("n_words").alias("n"), "terms", "counts", "gaps").collect()
+    for r in got:
+        counts, gaps = (C._unpacked(pa.array([bytes(r[c])]), 0, np.int32) for c in ("counts", "gaps"))
+        assert counts.sum() == len(gaps) == r["n"] and len(r["terms"]) == 8 * len(counts)
+    for x in (np.zeros(0, np.int32), np.arange(7, dtype=np.int32) * 70000, np.array([2**63 + 5, 1], np.uint64)):
+        assert (C._unpacked(C._packed(x), 0, x.dtype.type) == x).all()
