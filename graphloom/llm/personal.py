@@ -11,14 +11,16 @@ stretches between such words, and Viterbi runs over these in batches.
 
 Defined results: a null text counts as empty and has no span; patterns match from the left without overlap, each kind
 alone; a match that fails its check (parts over 255, digits, Luhn) is dropped and not tried shorter; added spans never
-overlap a pattern's; a line of more than two megabytes is decoded in stretches of that size, cut at white space, and a
-word of more than that is tagged as nothing. Positions are code points, the end exclusive.
+overlap a pattern's; a long text is read in stretches, but its words have the features and tags that they have in the
+whole text, however long lines and words are. Positions are code points, the end exclusive.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -172,6 +174,8 @@ Tel Aviv is warm, and the number of guests is small.
 TAGS = ("nothing", *ADDED)
 #: Rows of the weight table; features of a word; widest jump of the training's line search.
 TABLE, RATE, STEPS, PENALTY = 1 << 16, 0.5, 200, 0.02
+#: The most words, with those that fill shorter ones up, of stretches that are decoded together; a longer one is alone.
+AREA = 1 << 20
 
 _MARK = re.compile(r"\[\[(\w+)\|(.*?)\]\](?=\s|$)")
 
@@ -191,14 +195,21 @@ class Tokens(NamedTuple):
     features: np.ndarray
 
 
-def _tokens(t: K.Texts) -> Tokens:
-    """The words between white space, whether each begins a line, and its features as rows of the weight table."""
-    start, end, doc = K.spans(t, _SPACE)
-    if not len(start):
-        none = np.zeros(0, np.int64)
-        return Tokens(none, none, none, np.zeros(0, bool), np.zeros((_FEATURES, 0), np.int64))
-    word = K.hashed(K.LOWER[t.data], start, end)
-    # the shape: runs of one class count once
+class Looks(NamedTuple):
+    """What words are by themselves, and the lines they are in: an entry for each word, in reading order."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    line: np.ndarray
+    word: np.ndarray
+    shape: np.ndarray
+    long: np.ndarray
+    runs: np.ndarray
+
+
+def _shapes(t: K.Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's shape, in which runs of one class count once, and how many runs it has."""
     size = end - start
     begin = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(size)), size)
@@ -210,14 +221,39 @@ def _tokens(t: K.Texts) -> Tokens:
     run = np.cumsum(turn) - 1
     place = np.minimum(np.arange(len(at)) - run[begin][owner[at]], 63)
     heads = np.searchsorted(at, begin)
-    shape = np.add.reduceat(K.PLACES[(place << 8) | kind[at]], heads)
-    runs = np.minimum(np.diff(np.append(heads, len(at))), 12).astype(K.U64)
-    long = np.minimum(np.log2(size).astype(np.int64), 6).astype(K.U64)
-    lines = np.cumsum(t.data == 10)[start]
-    first = np.ones(len(start), bool)
-    first[1:] = (lines[1:] != lines[:-1]) | (doc[1:] != doc[:-1])
-
-    line = np.cumsum(first)
+    return np.add.reduceat(K.PLACES[(place << 8) | kind[at]], heads), np.diff(np.append(heads, len(at)))
+
+
+def _long_shape(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_shapes of one word of any length, CHUNK bytes at a time."""
+    shape, runs, before = np.zeros(1, K.U64), np.zeros(1, np.int64), -1
+    for a in range(0, len(word), K.CHUNK):
+        kind = _CLASS[word[a : a + K.CHUNK]].astype(np.int64)
+        heads = kind[np.concatenate([[kind[0] != before], kind[1:] != kind[:-1]])]
+        shape += K.PLACES[(np.minimum(runs + np.arange(len(heads)), 63) << 8) | heads].sum(dtype=K.U64)
+        runs += len(heads)
+        before = kind[-1]
+    return shape, runs
+
+
+def _looks(t: K.Texts) -> Looks:
+    """The words between white space; more than CHUNK bytes are one text that has no white space."""
+    if len(t.data) > K.CHUNK and _SPACE[t.data].all():
+        doc, start, end = np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([len(t.data)])
+        shape, runs, line = *_long_shape(t.data), doc
+    else:
+        start, end, doc = K.spans(t, _SPACE)
+        if not len(start):
+            return Looks(*[np.zeros(0, np.int64)] * 4, *[np.zeros(0, K.U64)] * 4)
+        shape, runs = _shapes(t, start, end)
+        line = np.cumsum(t.data == 10)[start] + doc
+    long = np.minimum(np.log2(end - start).astype(np.int64), 6).astype(K.U64)
+    return Looks(doc, start, end, line, K.hashed(K.LOWER[t.data], start, end), shape, long, np.minimum(runs, 12).astype(K.U64))
+
+
+def _rows(s: Looks) -> np.ndarray:
+    """The words' features as rows of the weight table."""
+    line, word, shape, long, runs = s.line, s.word, s.shape, s.long, s.runs
 
     def back(x: np.ndarray, k: int) -> np.ndarray:
         """x of the word k places before in the line (after, if k is negative); 0 past its edge."""
@@ -231,8 +267,32 @@ def _tokens(t: K.Texts) -> Tokens:
 
     u = K.U64
     mix = [shape, shape + long * u(0x9E37), runs * u(0x51ED) + long, word, back(word, 1), back(word, 2) ^ u(0xABCD), back(shape, 1) + u(3), back(word, -1) + u(5), (back(word, 1) * u(31)) ^ (back(word, 2) + u(7))]
-    rows = np.stack([K.mixed(x + u(k << 56)) for k, x in enumerate(mix)]) >> u(48)
-    return Tokens(doc, start, end, first, rows.astype(np.int64))
+    return (np.stack([K.mixed(x + u(k << 56)) for k, x in enumerate(mix)]) >> u(48)).astype(np.int64)
+
+
+def _first(line: np.ndarray) -> np.ndarray:
+    """Whether each word begins a line, and True for what comes after the last."""
+    return np.concatenate([[True], line[1:] != line[:-1], [True]])[-1 - len(line) :]
+
+
+def _tokens(t: K.Texts) -> Tokens:
+    """The words between white space, whether each begins a line, and its features as rows of the weight table."""
+    s = _looks(t)
+    return Tokens(s.doc, s.start, s.end, _first(s.line)[:-1], _rows(s))
+
+
+def _parts(t: K.Texts) -> Iterator[tuple[Looks, np.ndarray]]:
+    """The words of one long text and their features, a stretch at a time. A word waits for the one after it, and two stay
+    for those that come, as features go so far."""
+    held, known, lines = _looks(K.Texts(t.data[:0], np.zeros(1, np.int64))), 0, 0
+    for a, b in [*_stretches(t.data), (len(t.data), len(t.data))]:
+        s = _looks(K.Texts(t.data[a:b], np.array([0, b - a])))
+        s = s._replace(start=s.start + a, end=s.end + a, line=s.line + lines)
+        lines += int(np.count_nonzero(t.data[a:b] == 10))
+        both = Looks(*(np.concatenate(x) for x in zip(held, s, strict=True)))
+        upto = max(len(both.start) - (a < b), known)
+        yield Looks(*(x[known:upto] for x in both)), _rows(both)[:, known:upto]
+        held, known = Looks(*(x[max(upto - 2, 0) :] for x in both)), min(upto, 2)
 
 
 class Model(NamedTuple):
@@ -306,8 +366,12 @@ def _viterbi(score: np.ndarray, size: np.ndarray, closes: np.ndarray, move: np.n
     nothing but where `closes` says that its line ends with it."""
     first, out = np.cumsum(size) - size, np.zeros(len(score), np.int64)
     order = np.argsort(size, kind="stable")
-    for a in range(0, len(order), 4096):
-        block = order[a : a + 4096]
+    b = 0
+    while (a := b) < len(order):
+        b = a + 1
+        while b < len(order) and b - a < 4096 and (b - a + 1) * size[order[b]] <= AREA:
+            b += 1
+        block = order[a:b]
         n, top = size[block], int(size[block].max())
         at = first[block][:, None] + np.minimum(np.arange(top), n[:, None] - 1)
         best = move[0] + score[at[:, 0]]
@@ -325,31 +389,74 @@ def _viterbi(score: np.ndarray, size: np.ndarray, closes: np.ndarray, move: np.n
     return out
 
 
-def tags(model: Model, w: Tokens) -> np.ndarray:
-    """The tag of every word on the best path of its line."""
-    score = np.zeros((len(w.doc), len(TAGS)), np.float32)
-    for row in w.features:
+def _opened(model: Model, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' scores by tag, and whether the best path may give each a tag."""
+    score = np.zeros((features.shape[1], len(TAGS)), np.float32)
+    for row in features:
         score += model.emit[row]
-    out = np.zeros(len(w.doc), np.int64)
     # what the transitions to and from each tag can gain over those to and from nothing; a line's last word has none from
     gain = (model.move - model.move[:, :1]).max(axis=0) + np.maximum((model.move - model.move[:1]).max(axis=1), 0)
-    open_ = np.flatnonzero((score[:, 1:] + gain[1:] >= score[:, :1]).any(axis=1)) if len(score) else out
-    if len(open_):
-        new = np.ones(len(open_), bool)
-        new[1:] = (open_[1:] != open_[:-1] + 1) | w.first[open_[1:]]
-        size = np.diff(np.append(np.flatnonzero(new), len(open_)))
-        last = open_[np.cumsum(size) - 1]
-        out[open_] = _viterbi(score[open_], size, np.append(w.first, True)[last + 1], model.move)
+    return score, (score[:, 1:] + gain[1:] >= score[:, :1]).any(axis=1)
+
+
+def _decoded(model: Model, score: np.ndarray, open_: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The words' tags; `first` says whether each begins a line, and whether what comes after the last does."""
+    out, at = np.zeros(len(score), np.int64), np.flatnonzero(open_)
+    if len(at):
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | first[at[1:]]
+        size = np.diff(np.append(np.flatnonzero(new), len(at)))
+        last = at[np.cumsum(size) - 1]
+        out[at] = _viterbi(score[at], size, first[last + 1], model.move)
     return out
 
 
+def tags(model: Model, w: Tokens) -> np.ndarray:
+    """The tag of every word on the best path of its line."""
+    return _decoded(model, *_opened(model, w.features), np.append(w.first, True))
+
+
+def _tags_of_parts(model: Model, parts: Iterator[tuple[Looks, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(tags, starts, ends) of the words of one text that comes in parts, a line's best path as if it came whole: open words
+    at a part's end wait for the first that isn't, or for their line's end."""
+    tail: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    line = 0
+
+    def closed(ends: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        score, start, end = (np.concatenate(x) for x in zip(*tail, strict=True))
+        tail.clear()
+        return _viterbi(score, np.array([len(score)]), np.array([ends]), model.move), start, end
+
+    for s, features in parts:
+        n = len(s.start)
+        score, open_ = _opened(model, features)
+        a = 0
+        if tail:
+            stops = np.flatnonzero(~open_ | (s.line != line))
+            a = int(stops[0]) if len(stops) else n
+            tail.append((score[:a], s.start[:a], s.end[:a]))
+            if a == n:
+                continue
+            yield closed(bool(s.line[a] != line))
+        first = _first(s.line)
+        b = n
+        while b > a and open_[b - 1] and (b == n or not first[b]):
+            b -= 1
+        yield _decoded(model, score[a:b], open_[a:b], first[a : b + 1]), s.start[a:b], s.end[a:b]
+        if b < n:
+            tail.append((score[b:], s.start[b:], s.end[b:]))
+            line = s.line[-1]
+    if tail:
+        yield closed(True)
+
+
 #: What a tagged word may have around it that is no part of it.
 _EDGES = b"\"'`([{<>}]).,;:!?|"
 
 
 def _stretches(data: np.ndarray) -> Iterator[tuple[int, int]]:
-    """A long text in stretches of CHUNK bytes or a little less: whole lines, or words of a line that is longer, or a word
-    that is longer yet."""
+    """A long text in stretches of CHUNK bytes or a little less: whole lines, or words of a line that is longer, or one
+    word that is longer yet, alone."""
     at = 0
     while at < len(data):
         end = min(at + K.CHUNK, len(data))
@@ -370,20 +477,26 @@ def _stretches(data: np.ndarray) -> Iterator[tuple[int, int]]:
 def _added(model: Model, t: K.Texts) -> dict[int, list[tuple[str, int, int]]]:
     """By text: (kind, start, end) in bytes of the text, of the words tagged, without quotes and brackets around."""
     if len(t.offsets) == 2 and len(t.data) > K.CHUNK:
-        parts = [(a, _added(model, K.Texts(t.data[a:b], np.array([0, b - a]))) if b - a <= K.CHUNK else {}) for a, b in _stretches(t.data)]
-        return {0: [(k, a + s, a + e) for a, found in parts for k, s, e in found.get(0, ())]}
-    w = _tokens(t)
+        every = ((got, start, end, np.zeros(len(got), np.int64)) for got, start, end in _tags_of_parts(model, _parts(t)))
+    else:
+        w = _tokens(t)
+        every = iter([(tags(model, w), w.start, w.end, w.doc)])
     found: dict[int, list[tuple[str, int, int]]] = {}
-    got = tags(model, w)
-    for i in np.flatnonzero(got).tolist():
-        d, raw = int(w.doc[i]), t.data[w.start[i] : w.end[i]].tobytes()
-        left, right = len(raw) - len(raw.lstrip(_EDGES)), len(raw.rstrip(_EDGES))
-        if right > left:
-            base = int(w.start[i] - t.offsets[d])
-            found.setdefault(d, []).append((TAGS[got[i]], base + left, base + right))
+    for got, start, end, doc in every:
+        for i in np.flatnonzero(got).tolist():
+            d, raw = int(doc[i]), t.data[start[i] : end[i]].tobytes()
+            left, right = len(raw) - len(raw.lstrip(_EDGES)), len(raw.rstrip(_EDGES))
+            if right > left:
+                base = int(start[i] - t.offsets[d])
+                found.setdefault(d, []).append((TAGS[got[i]], base + left, base + right))
     return found
 
 
+def _points(data: np.ndarray) -> int:
+    """How many code points begin in these bytes."""
+    return int(np.count_nonzero((data & 0xC0) != 0x80))
+
+
 def _finder(model: Model):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.bool_())]))
 
@@ -394,13 +507,18 @@ def _finder(model: Model):
             added = _added(model, t) if len(t.data) else {}
             rows: list[list[dict]] = [[] for _ in range(n)]
             for i in np.flatnonzero(has["@"] | has["0"] | np.isin(np.arange(n), list(added))).tolist():
-                raw = t.data[t.offsets[i] : t.offsets[i + 1]].tobytes()
-                text = raw.decode()
+                raw = t.data[t.offsets[i] : t.offsets[i + 1]]
+                text = raw.tobytes().decode()
                 spans = [(b, KINDS.index(k), e, True) for k, b, e in base_spans(text, has["0"][i], has["@"][i], has["+"][i])]
-                fixed = list(spans)
+                begins, upto = [x[0] for x in spans], list(accumulate((x[2] for x in spans), max))
+                at = point = 0
                 for k, b, e in added.get(i, ()):
-                    b, e = len(raw[:b].decode(errors="ignore")), len(raw[:e].decode(errors="ignore"))
-                    if all(e <= x[0] or b >= x[2] for x in fixed):
+                    before_it, inside = _points(raw[at:b]), _points(raw[b:e])
+                    at, b = e, point + before_it
+                    e = point = b + inside
+                    # of the patterns' spans that begin before its end, none reaches past its start
+                    before = bisect_left(begins, e)
+                    if not before or upto[before - 1] <= b:
                         spans.append((b, KINDS.index(k), e, False))
                 rows[i] = [{"kind": KINDS[k], "start": b, "end": e, "pattern": p} for b, k, e, p in sorted(spans)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(rows, kind)], names=["doc_id", "spans"])

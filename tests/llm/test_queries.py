@@ -104,6 +104,29 @@ def test_long_text_is_tagged_line_by_line():
     assert [text[b:e] for _, b, e in got] == ["bob(at)site(dot)com", "555-987-6543"]
 
 
+@pytest.mark.parametrize("chunk", [64, 128, 320])
+def test_long_text_is_tagged_as_a_short_one(monkeypatch, chunk):
+    """Wherever stretches are cut: within a line, between a word and those that tell it, in words longer than a stretch."""
+    model, r = personal.trained(), np.random.default_rng(3)
+    parts = ["the", "password", "=", "hunter2x9", "SSN", "123-45-6789", "IBAN", "DE89370400440532013000", "call", "555-987-6543", "token", '"9f8a7b6c5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a"', "Straße", "is", "a" * 50, "-1" * 70, "write", "to", "bob(at)site(dot)com"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", " ", " ", "  ", "\n"]) for _ in range(r.integers(1, 120))) for _ in range(60)]
+    # only open words, and white space of several stretches
+    texts += [" ".join(["SSN 123-45-6789"] * 60), "123-45-6789 " * 90, "SSN" + " " * 500 + "123-45-6789\n" + "\n" * 300 + "password: " + "x9" * 300]
+    whole = [personal._added(model, K.texts(pa.array([x]))) for x in texts]
+    assert sum(map(len, whole)) > 50
+    monkeypatch.setattr(K, "CHUNK", chunk)
+    assert [personal._added(model, K.texts(pa.array([x]))) for x in texts] == whole
+
+
+def test_long_line_keeps_what_tells_a_word():
+    text = "so it goes on " * ((K.CHUNK - 12) // 14)
+    text += "on " * ((K.CHUNK - 2 - len(text)) // 3 - 2)
+    for pad in range(12):
+        line = text + "x" * pad + " SSN 123-45-6789 " + text
+        [(kind, b, e)] = personal._added(personal.trained(), K.texts(pa.array([line])))[0]
+        assert (kind, line[b:e]) == ("number", "123-45-6789")
+
+
 # words
 
 
