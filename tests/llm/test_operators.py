@@ -18,6 +18,7 @@ from graphloom.llm import tokens as K
 from graphloom.llm.components import components
 from graphloom.llm.exact_dedup import exact_duplicates
 from graphloom.llm.near_dedup import near_duplicates
+from graphloom.llm.tables import joined_by, saved
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, size string, part int, hash string, kept string, slot string, shard string, label string, row string, key string"
 SPACED, LETTERED = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -239,6 +240,15 @@ def test_toxicity(spark):
     assert {x["score"] for x in toxicity.scored(docs, toxicity.learned(docs, known.where("false"))).collect()} == {0.0}
 
 
+def test_toxicity_is_learned_by_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"good day {'rotten' if k % 2 else 'calm'} sea") for k in range(40)], "doc_id long, text string")
+    known = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    there = toxicity.trained([r["text"] for r in docs.collect()], [k % 2 for k in range(40)])
+    monkeypatch.setattr(toxicity, "trained", None)
+    model = toxicity.learned(docs, known)
+    assert np.array_equal(model.weights, there.weights) and model[1:] == there[1:]
+
+
 # 5 token counts
 
 
@@ -374,6 +384,37 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 200: 100, 300: 100, 400: 400, 500: 400}
 
 
+def test_components_in_chunks_and_rounds(spark, monkeypatch):
+    r = random.Random(8)
+    pairs = [(r.randrange(150), r.randrange(150)) for _ in range(110)] + [(k, k + 1) for k in range(1000, 1030)]
+    known = {k: k for p in pairs if p[0] != p[1] for k in p}
+    for _ in known:
+        for a, b in pairs:
+            if a != b:
+                known[a] = known[b] = min(known[a], known[b])
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    for chunk in (1, 7, 1 << 19):
+        monkeypatch.setattr("graphloom.llm.components.CHUNK", chunk)
+        assert {x["id"]: x["component"] for x in components(edges).collect()} == known
+
+
+def test_few_edges_are_tied_without_rounds(spark, monkeypatch):
+    """Each round has a dozen exchanges, and for each the driver keeps a thread and a plan."""
+    monkeypatch.setattr("graphloom.llm.components._stars", None)
+    edges = spark.createDataFrame([(k + 1, k) for k in range(40)], "a long, b long").repartition(3)
+    assert {r["component"] for r in components(edges).collect()} == {0}
+
+
+def test_joins_without_hot_keys_are_plain(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") < 1000, F.col("id")).alias("key"), "id")
+    dims = saved(spark.range(1000).select(F.col("id").alias("key"), F.lit(1).alias("n")), "dims")
+    joined = joined_by(rows, dims, ["key"], "n")
+    assert "_hot" not in joined._jdf.queryExecution().toString() and joined.count() == 1000
+    hot = saved(rows.select(F.coalesce("key", F.lit(0)).alias("key")).groupBy("key").agg(F.count("*").alias("n")), "dims")
+    joined = joined_by(rows.select(F.coalesce("key", F.lit(0)).alias("key"), "id"), hot, ["key"], "n")
+    assert "_hot" in joined._jdf.queryExecution().toString() and joined.count() == 2000
+
+
 # 8 sharding
 
 
